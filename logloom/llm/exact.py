@@ -44,7 +44,7 @@ class DigestIndex:
         self.best = {"max": F.max, "min": F.min}[keep]
 
     def _write(self, df: DataFrame, to: str, *by: str) -> None:
-        w = df.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#digest", "true")
+        w = df.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         (w.partitionBy(*by) if by else w).parquet(f"{self.path}/{to}")
 
     def flush(self, docs: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
