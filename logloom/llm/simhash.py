@@ -62,13 +62,13 @@ def segments(threshold: int) -> list[tuple[int, int]]:
 
 
 def variants(fps: DataFrame, threshold: int) -> DataFrame:
-    """One row for each fingerprint and bit: the bit's segment without it, and which bit it was."""
-    keys = [F.struct(F.lit(shift + bit).alias("wild"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << bits) - 1 << shift) & ~(1 << shift + bit)))).alias("rest")) for shift, bits in segments(threshold) for bit in range(bits)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.wild", "k.rest", "fp")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    """One row (key, fp) for each fingerprint and bit: which bit, and the bits of its segment without it."""
+    keys = [
+        F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << bit))).bitwiseOR(F.lit(shift + bit << 40))
+        for shift, bits in segments(threshold)
+        for bit in range(bits)
+    ]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -88,57 +88,69 @@ def forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(keyed: DataFrame, key: list[str], threshold: int) -> DataFrame:
-    """Spanning forests of the groups of `keyed(*key, fp)`; rows of a group come one after another."""
-    schema, k = C.arrow_schema("a long, b long"), len(key)
+def _links(keyed: DataFrame, key: list[str], threshold: int, most: int | None) -> DataFrame:
+    """Spanning forests of the groups of `keyed(*key, fp)`: edges (a, b), `late` null. Rows of a group come one after
+    another; one of more than `most` is not looked at but given out as rows (fp, key) with `late` set."""
+    ddl, k = "a long, b long, late boolean", len(key)
+    schema = C.arrow_schema(ddl)
+
+    def edges_of(fp, ends):
+        edges, size = [], np.diff(ends)
+        two = ends[:-1][size == 2]
+        if len(two):
+            x, y = fp[two], fp[two + 1]
+            ok = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= threshold
+            edges = [np.stack([x[ok], y[ok]], 1)]
+        for i in np.flatnonzero(size > 2).tolist():
+            if found := forest(fp[ends[i] : ends[i + 1]], threshold):
+                edges.append(np.array(found, np.uint64).view(np.int64))
+        e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+        return batch(np.unique(np.sort(e, axis=1), axis=0), None)
+
+    def batch(rows, late):
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array([late] * len(rows), pa.bool_())], schema=schema)
 
     def run(it):
-        rest = None
+        rest, large = None, None  # rows of the last group so far; its key, once it is too large
         for b in it:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(k + 1)]
+            if large is not None:
+                n = int(np.argmin(np.append(cols[0] == large, False)))
+                yield batch(np.stack([cols[1][:n], cols[0][:n]], 1), True)
+                cols = [c[n:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                large = None
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
             change = np.zeros(max(len(cols[0]) - 1, 0), bool)
             for c in cols[:k]:
                 change |= c[1:] != c[:-1]
-            ends = [0, *(np.flatnonzero(change) + 1).tolist()]
-            yield out(cols[k], ends)
+            ends = np.concatenate([[0], np.flatnonzero(change) + 1])
+            yield edges_of(cols[k], ends)
             rest = [c[ends[-1] :] for c in cols]
+            if most and len(rest[0]) > most:
+                large = rest[0][0]
+                yield batch(np.stack([rest[1], rest[0]], 1), True)
+                rest = None
         if rest is not None:
-            yield out(rest[k], [0, len(rest[k])])
-
-    def out(fp, ends):
-        edges = []
-        size = np.diff(ends)
-        two = np.array(ends[:-1])[size == 2] if len(size) else np.array([], np.int64)
-        if len(two):
-            x, y = fp[two], fp[two + 1]
-            ok = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= threshold
-            edges = [np.stack([x[ok], y[ok]], 1)]
-        for i in np.flatnonzero(size > 2).tolist():
-            found = forest(fp[ends[i] : ends[i + 1]], threshold)
-            if found:
-                edges.append(np.array(found, np.uint64).view(np.int64))
-        e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-        e = np.unique(np.sort(e, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
+            yield edges_of(rest[k], np.array([0, len(rest[k])]))
 
     n = C.partitions(keyed.sparkSession)
-    return keyed.select(*key, "fp").repartition(n, *key).sortWithinPartitions(*key, "fp").mapInArrow(run, "a long, b long")
+    return keyed.select(*key, "fp").repartition(n, *key).sortWithinPartitions(*key, "fp").mapInArrow(run, ddl)
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of `fps(fp)`, enough to connect all that are linked."""
-    keyed = variants(fps, threshold)
-    counts = keyed.groupBy("wild", "rest").count().where(F.col("count") > 1)
-    part = F.pmod(F.xxhash64("fp"), "blocks")
-    # rows without a partner in their key go no further; blocks of a key follow from its exact count
-    sized = C.materialize(keyed.join(counts, ["wild", "rest"]).select("wild", "rest", "fp", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "simhash-keys")
-    small = _links(sized.where("blocks = 1").select("wild", "rest", "fp"), ["wild", "rest"], threshold)
-    large = sized.where("blocks > 1").withColumn("own", part)
-    pairs = large.select("wild", "rest", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    big = pairs.select("wild", "rest", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
-    return small.unionByName(_links(big, ["wild", "rest", "p", "q"], threshold))
+    found = C.materialize(_links(variants(fps, threshold), ["key"], threshold, block), "simhash-links")
+    edges, late = found.where("late is null").select("a", "b"), found.where("late").select(F.col("a").alias("fp"), F.col("b").alias("key"))
+    if late.isEmpty():
+        return edges
+    counts = C.materialize(late.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")), "simhash-large")
+    own = late.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    pairs = own.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    both = pairs.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
+    return edges.unionByName(_links(both, ["key", "p", "q"], threshold, None).select("a", "b"))
 
 
 def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
