@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import cached
+from .tokens import ROWS, cached
 
 LENGTH, SHARD_TOKENS, QUERY_TERMS = 1024, 1 << 18, 24
 K1, B = 1.2, 0.75
@@ -37,8 +37,8 @@ def _tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         tok, rid = cached(tokenizer), TaskContext.get().partitionId() << 33
         end = np.array([end_id], tok.dtype).tobytes()
-        for b in C.batches_of(it):
-            ids = [x + end for x in tok.encode_many(b.column(1).to_pylist())]
+        for b in C.batches_of(it, ROWS):
+            ids = [x + end for x in tok.encode_many(b.column(1))]
             near = []
             for x in ids:
                 d = np.unique(np.frombuffer(x, tok.dtype)).astype(np.uint64)
@@ -85,15 +85,21 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int =
     pieces, sequence, room = [], 0, length
     left = sum(map(len, docs))
     free = 0
-    line: list[int] = []  # neighbours of the window's seed, the best last
+    line: list[int] | None = None  # neighbours of the window's seed, the best last
 
     def capacity():
         return length if left >= length else 1 << (left.bit_length() - 1)
 
     room = size = capacity()
-    doc, at = -1, 0
+    doc, at, seed = -1, 0, -1
     while left:
         if doc < 0:
+            if line is None and seed >= 0:  # looked up once the seed leaves room
+                s = index.scores(seed)
+                s[~unused] = -1
+                most = min(room, len(s))
+                best = np.argpartition(-s, most - 1)[:most] if most < len(s) else np.arange(len(s))
+                line = [i for i in best[np.lexsort((-best, s[best]))].tolist() if s[i] > 0]
             while line and not unused[line[-1]]:
                 line.pop()
             if line:
@@ -106,11 +112,7 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int =
             unused[doc] = False
         n = min(room, len(docs[doc]) - at)
         if room == size:  # the window's seed
-            s = index.scores(doc)
-            s[~unused] = -1
-            most = min(size, len(s))
-            best = np.argpartition(-s, most - 1)[:most] if most < len(s) else np.arange(len(s))
-            line = [i for i in best[np.lexsort((-best, s[best]))].tolist() if s[i] > 0]
+            seed, line = doc, None
         pieces.append((doc, at, n, sequence, size - room))
         at, room, left = at + n, room - n, left - n
         if at == len(docs[doc]):

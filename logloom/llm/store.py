@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import cached
+from .tokens import ROWS, cached
 
 WINDOW, LEAST, MOST, MASK = 8, 64, 2048, (1 << 8) - 1
 _TOKENS = "rid long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, payload binary, root binary"
@@ -64,9 +64,9 @@ def _tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         tok, rid = cached(tokenizer), TaskContext.get().partitionId() << 33
         w = tok.dtype.itemsize
         end = np.array([end_id], tok.dtype).tobytes()
-        for b in C.batches_of(it):
+        for b in C.batches_of(it, ROWS):
             cols: list[list] = [[] for _ in range(7)]
-            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode_many(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode_many(b.column(1)), strict=True):
                 ids += end
                 cuts = cut_points(np.frombuffer(ids, tok.dtype))
                 digests = [hashlib.sha256(ids[a * w : e * w]).digest()[:20] for a, e in zip([0, *cuts], cuts, strict=False)]
