@@ -277,8 +277,11 @@ def object_fold(t):
 
 
 def _trace(t):
-    # every assertion reads it, so it is computed once a session
-    return traces.synthetic(t.spark, t.records()).persist()
+    # every assertion reads it, and all group within a trace: it is dealt by trace once and kept, and joins and windows
+    # on a trace's keys take that dealing as it is
+    t.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return traces.synthetic(t.spark, t.records()).repartition(n, "trace_id").persist()
 
 
 @query
