@@ -167,7 +167,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     rate = F.when(F.col("y") == 1, min(1.0, sample / max(n.get(1, 0), 1))).otherwise(min(1.0, sample / max(n.get(0, 0), 1)))
     chosen = y.where(F.pmod(F.xxhash64("l", F.lit("toxicity")), F.lit(1 << 20)) < rate * (1 << 20))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = own.where(F.length("text") <= SAMPLE_CHARS).join(chosen, F.col("doc_id") == F.col("l")).select("doc_id", "text", "y").collect()
+    # the sample's ids are about SAMPLE for each label whatever the input, so the texts stay where they are
+    rows = own.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("l")).select("doc_id", "text", "y").collect()
     model = fit(sorted((r.doc_id, r.text, int(r.y)) for r in rows))
     schema = C.arrow_schema("doc_id long, score double")
 
