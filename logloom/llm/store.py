@@ -24,7 +24,7 @@ from . import common as C
 from .tokens import ROWS, cached
 
 WINDOW, LEAST, MOST, MASK = 8, 64, 2048, (1 << 8) - 1
-_TOKENS = "rid long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, payload binary, root binary"
+_TOKENS = "rid long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, starts array<int>, payload binary, root binary"
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -65,12 +65,12 @@ def _tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         w = tok.dtype.itemsize
         end = np.array([end_id], tok.dtype).tobytes()
         for b in C.batches_of(it, ROWS):
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in schema]
             for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode_many(b.column(1)), strict=True):
                 ids += end
                 cuts = cut_points(np.frombuffer(ids, tok.dtype))
                 digests = [hashlib.sha256(ids[a * w : e * w]).digest()[:20] for a, e in zip([0, *cuts], cuts, strict=False)]
-                for c, v in zip(cols, (rid, doc_id, len(ids) // w, digests, np.diff([0, *cuts]).tolist(), ids, merkle(digests)), strict=True):
+                for c, v in zip(cols, (rid, doc_id, len(ids) // w, digests, np.diff([0, *cuts]).tolist(), [0, *cuts[:-1]], ids, merkle(digests)), strict=True):
                     c.append(v)
                 rid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -83,9 +83,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     spark = docs.sparkSession
     tokens = C.materialize(_tokenize(docs, tokenizer, end_id), "cas-tokens")
     width = cached(tokenizer).dtype.itemsize
-    starts = F.expr("transform(lengths, (x, i) -> aggregate(slice(lengths, 1, i), 0, (s, y) -> s + y))")
-    rows = tokens.select("payload", F.explode(F.arrays_zip("digests", "lengths", starts.alias("at"))).alias("c"))
-    chunk = F.expr(f"substring(payload, c.at * {width} + 1, c.lengths * {width})")
+    rows = tokens.select("payload", F.explode(F.arrays_zip("digests", "lengths", "starts")).alias("c"))
+    chunk = F.expr(f"substring(payload, c.starts * {width} + 1, c.lengths * {width})")
     distinct = rows.select(F.col("c.digests").alias("digest"), F.col("c.lengths").cast("long").alias("n"), chunk.alias("payload"))
     distinct.groupBy("digest", "n").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     order = C.ordered_prefix(tokens.select("rid", "doc_id", "n_tokens", "digests", "lengths", "root"), ["doc_id", "rid"], "n_tokens", "cas-order", before="start")
@@ -163,7 +162,7 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     used = recipes.select("rid", "doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
     crcs = crcs.select(F.col("digest").alias("chunk"), F.col("n").alias("c_n"), "crc")
     parts = used.join(crcs, used.digest == crcs.chunk, "left").groupBy("rid").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "start", "n_tokens")), F.collect_list(F.struct("pos", "digest", F.coalesce("c_n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), "root")).alias("parts")
+        *(F.max(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")), F.collect_list(F.struct("pos", "digest", F.coalesce("c_n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))).alias("parts")
     )
     out = C.arrow_schema("doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -171,15 +170,15 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
         tables = _shift_tables()
         for b in C.batches_of(it):
             crc = []
-            for n, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for n, root, parts in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
                 parts.sort(key=lambda p: p["pos"])
                 sizes = np.array([p["n"] for p in parts], np.int64)
-                if sizes.sum() != n or (sizes < 0).any() or merkle([p["digest"] for p in parts]) != parts[0]["root"]:
+                if sizes.sum() != n or (sizes < 0).any() or merkle([p["digest"] for p in parts]) != root:
                     raise ValueError("a recipe is damaged or a chunk is missing")
                 crc.append(joined_crc(np.array([p["crc"] for p in parts], np.int64), sizes * 4, tables))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], schema=out)
 
-    return parts.select("doc_id", "start", "n_tokens", "parts").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
