@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,9 +126,12 @@ def _shift_tables() -> np.ndarray:
     return np.array(tables)
 
 
-def joined_crc(crcs: np.ndarray, sizes: np.ndarray, tables: np.ndarray) -> int:
-    """CRC-32 of a concatenation from its parts' CRCs and sizes in bytes."""
-    after = sizes.sum() - np.cumsum(sizes)
+def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """CRC-32 of concatenations, from their parts' CRCs and sizes in bytes; `first`: where each one's parts begin."""
+    if not len(first):
+        return np.zeros(0, np.uint32)
+    ends = np.cumsum(sizes)
+    after = np.repeat(ends[np.append(first[1:], len(sizes)) - 1], np.diff(np.append(first, len(sizes)))) - ends
     c = crcs.astype(np.uint32)
     k = 0
     while (after >> k).any():
@@ -136,7 +140,7 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray, tables: np.ndarray) -> int:
         t = tables[k]
         c[on] = t[0][v & 255] ^ t[1][(v >> 8) & 255] ^ t[2][(v >> 16) & 255] ^ t[3][v >> 24]
         k += 1
-    return int(np.bitwise_xor.reduce(c))
+    return np.bitwise_xor.reduceat(c, first)
 
 
 def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -168,15 +172,19 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def documents(it):
         tables = _shift_tables()
-        for b in C.batches_of(it):
-            crc = []
-            for n, root, parts in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                parts.sort(key=lambda p: p["pos"])
-                sizes = np.array([p["n"] for p in parts], np.int64)
-                if sizes.sum() != n or (sizes < 0).any() or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError("a recipe is damaged or a chunk is missing")
-                crc.append(joined_crc(np.array([p["crc"] for p in parts], np.int64), sizes * 4, tables))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], schema=out)
+        for b in C.batches_of(it, 2048):
+            column = b.column(4)
+            counts = pc.list_value_length(column).to_numpy()
+            first = np.cumsum(counts) - counts
+            flat = column.flatten()
+            by = np.lexsort((flat.field("pos").to_numpy(), np.repeat(np.arange(len(counts)), counts)))
+            sizes, crcs = flat.field("n").to_numpy()[by], flat.field("crc").to_numpy()[by]
+            digests = flat.field("digest").take(pa.array(by)).to_pylist()
+            total = np.add.reduceat(sizes, first) if len(first) else sizes
+            if (sizes < 0).any() or (total != b.column(2).to_numpy()).any() or any(merkle(digests[i : i + k]) != root for i, k, root in zip(first.tolist(), counts.tolist(), b.column(3).to_pylist(), strict=True)):
+                raise ValueError("a recipe is damaged or a chunk is missing")
+            crc = joined_crcs(crcs, sizes * 4, first, tables)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc.astype(np.int64))], schema=out)
 
     return parts.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
