@@ -2,13 +2,14 @@
 
 Two dictionaries come from a bounded sample of labelled rows. The ordinary one is trained by zstandard on windows of
 ordinary documents. The toxic one is a raw-content dictionary of the segments of toxic documents that set them apart
-(zstandard's own training prefers what is frequent, which in toxic documents is ordinary text). Windows are whole
-words over the whole text; each is compressed with the ordinary dictionary, and with the toxic one behind it: the
-bytes saved are its distance to ordinary text less that to toxic text. A logistic curve over the strongest saving and
-the numbers of windows above each of several thresholds, fitted on documents the dictionaries have not seen, gives
-the score.
-
-Cases: null counts as empty, and an empty text is scored like a text whose windows save nothing; equal texts get equal scores;
+(zstandard's own training prefers what is frequent, which in toxic documents is ordinary text). Windows hold the
+distinct words of the whole text in their order; each is compressed with the ordinary dictionary, and with the toxic
+one behind it: the bytes saved are its distance to ordinary text less that to toxic text. A window begins with an
+anchor that both dictionaries end with, so that a first match need not also pay for a compressed block's headers. A
+logistic curve over the strongest savings and the numbers of windows above each of several thresholds, fitted on
+documents the dictionaries have not seen, gives the score.
+
+Cases: null counts as empty; a text without words has no windows, and all its features are 0; equal texts get equal scores;
 without labels of both kinds every score is the base rate (0 without any label); an empty table gives an empty
 result; other columns are ignored.
 """
@@ -27,25 +28,31 @@ from . import common as C
 
 #: Documents of the sample for each label (on average) and their longest text; sizes of the dictionaries in bytes.
 SAMPLE, SAMPLE_CHARS, ORDINARY_BYTES, TOXIC_BYTES = 1500, 20_000, 16_384, 8_192
-WINDOW, LEVEL, THRESHOLD = 64, 3, 0.7
-#: Bytes saved that count; how much each counts is fitted.
-SAVINGS = (2, 3, 4, 5, 6, 7)
+WINDOW, THRESHOLD = 64, 0.7
+#: Shortest match of the compressors, so that fragments of words do not match; what windows and dictionaries share.
+SHORTEST, ANCHOR = 6, bytes([*range(1, 9), *range(14, 31)]) + b"<=>~^`{}"
+#: How many of the strongest savings, and which bytes saved, count; how much each counts is fitted.
+STRONGEST, SAVINGS = 4, (3, 4, 5, 6)
 #: Lengths of runs of characters that are weighed, how much more frequent they must be in toxic texts, how many are kept.
 RUNS, LIFT, COVER, SEGMENTS, MARKS = (5, 6, 7, 8, 9, 10), 12, 4, 600, ".,!?*#$%&|"
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The whole text, lowered, as runs of whole words of about WINDOW bytes; a longer word is cut into overlapping parts."""
+    """The distinct words of the whole text, lowered and without MARKS at their ends, in runs of about WINDOW bytes; a
+    longer word is cut into overlapping parts."""
     out, line, n = [], [], 0
-    for w in (text or "").lower().encode().split():
+    for w in dict.fromkeys([w.strip(MARKS) for w in (text or "").lower().split()]):
+        w = w.encode()
+        if not w:
+            continue
         for part in (w,) if len(w) <= WINDOW else (w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)):
             if n + len(part) > WINDOW and line:
-                out.append(b" " + b" ".join(line))
+                out.append(b" " + b" ".join(line) + b" ")
                 line, n = [], 0
             line.append(part)
             n += len(part) + 1
     if line:
-        out.append(b" " + b" ".join(line))
+        out.append(b" " + b" ".join(line) + b" ")
     return out
 
 
@@ -106,23 +113,29 @@ class Distances:
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard
 
+        how = zstandard.ZstdCompressionParameters(
+            window_log=16, chain_log=16, hash_log=16, search_log=4, min_match=SHORTEST, strategy=zstandard.STRATEGY_DFAST,
+            write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+
         def compressor(content):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            d = zstandard.ZstdCompressionDict(content + ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
         self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)
 
     def of(self, text: str | None) -> np.ndarray:
         plain, both = self.plain, self.both
-        return np.array([len(plain(w)) - len(both(w)) for w in windows(text)], np.int64)
+        return np.array([len(plain(ANCHOR + w)) - len(both(ANCHOR + w)) for w in windows(text)], np.int64)
 
 
 def features(saved: np.ndarray) -> list[float]:
-    """The strongest saving, and for each threshold the number of windows that save as much, over the root of all."""
+    """The strongest savings, and the logarithms of the numbers of windows that save so much and of all windows."""
     if not len(saved):
-        return [0.0] * (1 + len(SAVINGS))
-    return [min(float(saved.max()), 16) / 8, *(float((saved >= k).sum()) / len(saved) ** 0.5 for k in SAVINGS)]
+        return [0.0] * (STRONGEST + len(SAVINGS) + 1)
+    top = [*np.sort(saved)[::-1][:STRONGEST].tolist(), *[0] * STRONGEST][:STRONGEST]
+    return [*(min(max(v, -2), 10) / 8 for v in top), *(float(np.log1p((saved >= k).sum())) for k in SAVINGS), float(np.log1p(len(saved)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
