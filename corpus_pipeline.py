@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import common, exact, mixing, packing, quality, simhash
+from logloom.llm import common, exact, jaccard, mixing, packing, quality
 from logloom.llm.queries import tokenizer_path
 
 #: Documents below this score are rejected.
@@ -27,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, threshold=4, words=5)
+    return jaccard.keep_one(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

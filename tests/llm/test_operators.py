@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from logloom.llm import common, exact, imatch, langid, mixing, packing, quality, queries, secrets, simhash, store, toxicity
+from logloom.llm import common, exact, imatch, jaccard, langid, mixing, packing, quality, queries, secrets, simhash, store, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, key string"
 LONG = " ".join(f"word{i % 977} Stone{i % 13}" for i in range(6000))
@@ -137,6 +137,43 @@ def test_simhash_blocks_cover_large_keys(spark):
     assert out[0] == out[1] == sorted(want)
 
 
+def brute_kept(rows):
+    """The smallest id of each component of texts at Jaccard 0.8 or more, by five-word shingles of all pairs."""
+    sets = []
+    for _, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return sorted({min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for g in group})
+
+
+@pytest.mark.parametrize("dense", [jaccard.DENSE, 0])
+def test_near_dedup_is_brute_force(spark, empty, monkeypatch, dense):
+    """Copies on both sides of 0.8, chains, a large group, a line that all share; also if each shingle counts as dense."""
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    for n in (3, 5, 9, 40, 100, 300):
+        for _ in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 400, n)]
+            for _ in range(8):
+                w = list(base)
+                for at in rng.integers(0, n, int(rng.integers(0, max(2, n // 25)))):
+                    w[at] = f"x{rng.integers(0, 1000)}"
+                rows.append((len(rows), "the same line stands in each of these texts " * (n > 9) + " ".join(w)))
+                base = w if rng.random() < 0.3 else base
+    df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == brute_kept(rows)
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan_documents(docs).collect()}
