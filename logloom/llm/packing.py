@@ -1,7 +1,10 @@
 """Packing by lexical retrieval: a sharded BM25 index gives each seed document its unused neighbours.
 
-Documents are put in order of two min-hashes of their token ids, so that documents with words in common lie near each
-other, and cut by running token counts into shards of about SHARD_TOKENS. In a shard an inverted index over token
+Documents are put in an order in which those with rare words in common lie near each other wherever they stood, and
+cut by running token counts into shards of about SHARD_TOKENS. The order is that of two min-hashes of the token ids,
+in which an id counts by the square of its inverse document frequency and the end id and ids of one document alone do
+not count; documents that agree in one of BANDS bands of BAND_ROWS further min-hashes are moved together, each to the
+smallest of its groups, which lies where its least min-hashes are. In a shard an inverted index over token
 ids is built; inverse document frequencies and the mean length are those of the whole corpus (a vector as long as the
 vocabulary). A window starts with a seed and is filled with the unused documents that score highest for it; the one
 that crosses the end is cut, and its rest is the next seed. What is left at a shard's end is cut into sequences of
@@ -25,7 +28,9 @@ from .tokens import ROWS, cached
 
 LENGTH, SHARD_TOKENS, QUERY_TERMS = 1024, 1 << 18, 24
 K1, B = 1.2, 0.75
-_TOKENS = "rid long, doc_id long, n long, near long, ids binary"
+BANDS, BAND_ROWS, SEED = 8, 4, 7
+_TOKENS = "rid long, doc_id long, n long, ids binary"
+_NEAR = "rid long, n long, near long, bands array<long>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -39,18 +44,45 @@ def _tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], tok.dtype).tobytes()
         for b in C.batches_of(it, ROWS):
             ids = [x + end for x in tok.encode_many(b.column(1))]
-            near = []
-            for x in ids:
-                d = np.unique(np.frombuffer(x, tok.dtype)).astype(np.uint64)
-                one, two = d * np.uint64(0x9E3779B97F4A7C15), d * np.uint64(0xC2B2AE3D27D4EB4F)
-                near.append((int(one.min() >> np.uint64(33)) << 32) | int(two.min() >> np.uint64(32)))
             n = [len(x) // tok.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(ids))), b.column(0), pa.array(n, pa.int64()), pa.array(near, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(ids))), b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
             rid += len(ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TOKENS)
 
 
+def _neighbourhood(tokens: DataFrame, idf: np.ndarray, shared: np.ndarray, dtype) -> DataFrame:
+    """rid, n, lies (where the document's group lies), grp and near, by which the documents are put in order;
+    `shared` says which ids count."""
+    schema = C.arrow_schema(_NEAR)
+    weight = np.where(shared, np.square(idf), 0).astype(np.float32)
+
+    def run(it):
+        with np.errstate(divide="ignore"):  # the least of exponential numbers over weights: agrees as often as weights do
+            race = np.random.default_rng(SEED).exponential(size=(len(weight), 2 + BANDS * BAND_ROWS)).astype(np.float32) / weight[:, None]
+        mix = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.int64) | 1
+        for b in C.batches_of(it):
+            near, bands = [], []
+            for x in b.column(2).to_pylist():
+                d = np.frombuffer(x, dtype)
+                d = d[weight[d] > 0]
+                if not len(d):
+                    near.append((1 << 63) - 1)
+                    bands.append([])
+                    continue
+                first = d[race[d].argmin(0)].astype(np.int64)
+                near.append(int(first[0]) << 32 | int(first[1]))
+                h = ((first[2:] + 1) * mix).reshape(BANDS, BAND_ROWS).sum(1)
+                bands.append(h ^ (h >> 31))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+
+    t = C.materialize(tokens.select("rid", "n", "ids").mapInArrow(run, _NEAR), "pack-near")
+    each = t.select("rid", "near", F.explode("bands").alias("band"))
+    groups = C.materialize(each.groupBy("band").agg(F.count("*").alias("size"), F.min("near").alias("place")).where("size > 1"), "pack-groups")
+    of = each.join(groups, "band").groupBy(F.col("rid").alias("r")).agg(F.min(F.struct("size", "band", "place")).alias("g"))
+    return t.join(of, t.rid == of.r, "left").select("rid", "n", F.coalesce("g.place", "near").alias("lies"), F.coalesce("g.band", F.lit(0)).alias("grp"), "near")
+
+
 class Index:
     """BM25 over the documents of a shard; each document a list of token ids."""
 
@@ -142,7 +174,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     stats = C.partial_sums(tokens.select("ids"), frequencies, width + 2)
     count, mean = stats[-2], stats[-1] / max(stats[-2], 1)
     idf = np.log1p((count - stats[:-2] + 0.5) / (stats[:-2] + 0.5)).astype(np.float32)
-    order = C.ordered_prefix(tokens.select("rid", "near", "n"), ["near", "rid"], "n", "pack-order")
+    shared = (stats[:-2] > 1) & (np.arange(width) != end_id)
+    near = C.materialize(_neighbourhood(tokens, idf, shared, dtype), "pack-lies")
+    order = C.ordered_prefix(near, ["lies", "grp", "near", "rid"], "n", "pack-order")
     shard = order.select(F.col("rid").alias("r"), (F.col("before") / SHARD_TOKENS).cast("long").alias("shard"), F.col("position").alias("place"))
     dealt = tokens.join(shard, tokens.rid == shard.r).select("shard", "place", "doc_id", "ids")
     ddl = _PIECES + (", ids binary" if with_ids else "")

@@ -222,6 +222,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_brings_far_copies_together(spark, monkeypatch):
+    """Near copies at both ends of a corpus of several shards come into the same shard."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 4096)
+    rng = np.random.default_rng(6)
+    first = [[f"{chr(97 + x % 26)}{x}" for x in rng.zipf(1.3, 80) % 3000] for _ in range(150)]
+    second = [[*w[:20], "changed", *w[21:]] for w in first]
+    rows = [(i, " ".join(w)) for i, w in enumerate(first + second)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    shards = defaultdict(set)
+    for p in packing.pack(df, queries.tokenizer_path("byte_bpe_50k.json")).collect():
+        shards[p.doc_id].add(p.sequence_id >> 32)
+    assert len(set().union(*shards.values())) >= 8
+    assert np.mean([bool(shards[i] & shards[i + 150]) for i in range(150)]) > 0.9
+
+
 def test_packing_takes_the_likest_neighbour():
     rng = np.random.default_rng(1)
     topics = [rng.integers(i * 50, i * 50 + 50, 40) for i in range(3) for _ in range(4)]
