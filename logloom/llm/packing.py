@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .tokens import ROWS, cached
 
-LENGTH, SHARD_TOKENS, QUERY_TERMS = 1024, 1 << 18, 24
+LENGTH, SHARD_TOKENS = 1024, 1 << 18
 K1, B = 1.2, 0.75
 BANDS, BAND_ROWS, SEED = 8, 4, 7
 _TOKENS = "rid long, doc_id long, n long, ids binary"
@@ -92,6 +92,7 @@ class Index:
         self.terms = []
         for i, d in enumerate(docs):
             t, tf = np.unique(d, return_counts=True)
+            t = t.astype(np.int64)
             self.terms.append(t)
             terms.append(t)
             owner.append(np.full(len(t), i, np.int32))
@@ -102,11 +103,11 @@ class Index:
         self.at = np.searchsorted(t[by], np.arange(len(idf) + 1))
 
     def scores(self, i: int) -> np.ndarray:
-        """Of all documents for document i, by its rarest terms."""
+        """Of all documents for document i, by all its terms."""
         t = self.terms[i]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argsort(-self.idf[t], kind="stable")[:QUERY_TERMS]]
-        where = np.concatenate([np.arange(self.at[x], self.at[x + 1]) for x in t])
+        n = self.at[t + 1] - self.at[t]
+        ends = np.cumsum(n)
+        where = np.repeat(self.at[t] - (ends - n), n) + np.arange(ends[-1])
         return np.bincount(self.owner[where], weights=self.weight[where], minlength=len(self.docs))
 
 

@@ -249,6 +249,18 @@ def test_packing_takes_the_likest_neighbour():
     assert all(len(x) == 1 for x in list(same.values())[:2])
 
 
+def test_packing_scores_by_all_terms():
+    """A long seed's neighbours are found by its common terms too, and scores are BM25's by brute force."""
+    rng = np.random.default_rng(2)
+    idf = np.linspace(1, 2, 300).astype(np.float32)
+    docs = [np.arange(300), *(rng.integers(0, 60, 30) for _ in range(5)), rng.integers(0, 300, 50)]
+    got, mean = packing.Index(docs, idf, 40.0).scores(0), 40.0
+    for i, d in enumerate(docs):
+        tf = Counter(d.tolist())
+        want = sum(float(idf[t]) * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t, n in tf.items())
+        assert got[i] > 0 and abs(got[i] - want) < 1e-3
+
+
 def test_imatch(docs, empty):
     got = [r for r in imatch.compare(docs, 0.0, 1.0).collect() if r.doc_id is not None]
     rows = sorted(((d, t) for d, t in texts(docs) if d is not None), key=lambda x: -x[0])
