@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from logloom.llm import common, exact, jaccard, mixing, packing, quality
 from logloom.llm.queries import tokenizer_path
 
-#: Documents below this score are rejected.
-LEAST_QUALITY = 0.3
-
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scores.where(F.col("score") < LEAST_QUALITY).select(F.col("doc_id").alias("_rejected")).distinct()
+    """Without what the operator predicts as bad; where no document has a label to learn from, nothing is judged."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learned = labels.where("quality is not null").where(common.fold_of(F.col("doc_id").cast("long"), 4) != 2)
+    if docs.join(learned.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        return docs
+    scores = quality.score(docs, labels)
+    rejected = scores.where("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
 
 

@@ -358,6 +358,16 @@ def test_toxic_texts_score_higher(spark):
     assert np.mean([got[i].score for i in held if i % 3 == 0]) > np.mean([got[i].score for i in held if i % 3]) + 0.4
 
 
+def test_quality_filter_rejects_what_is_predicted_bad(docs, labels, spark, tmp_path, monkeypatch):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    made = docs.selectExpr("doc_id", "false AS held_out", "CASE WHEN doc_id % 2 = 0 THEN 0.5D ELSE 0.8D END AS score", "CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS predicted")
+    monkeypatch.setattr(quality, "score", lambda *_: made)
+    got = corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and got.count() == docs.where("doc_id is null or doc_id % 2 = 1").count()
+    labels.where("doc_id < 0").write.mode("overwrite").parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.quality_filter(spark, docs, f"{tmp_path}/none").count() == docs.count()
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
