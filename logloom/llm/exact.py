@@ -100,7 +100,13 @@ def groups(docs: DataFrame, keep: str = "max", digest=sha256, memtables: int = M
 
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents that stay, with their columns; rows with the same id and text stay together."""
-    kept = groups(docs, keep).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    """The documents that stay, with their columns: one row of each text, also where id and text are repeated."""
+    rows = groups(docs, keep).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    kept = C.materialize(rows.agg(F.count("*").alias("_rows")), "exact-kept")
     own = docs.withColumn("_sha", sha256(normalized(F.col("text"))))
-    return own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").drop("_sha")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    repeated = kept.where("_rows > 1")
+    out = own.join(kept.where("_rows = 1"), same, "left_semi")
+    if not repeated.isEmpty():
+        out = out.unionByName(own.join(repeated, same, "left_semi").dropDuplicates(["_sha"]))
+    return out.drop("_sha")

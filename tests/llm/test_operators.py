@@ -335,6 +335,16 @@ def test_exact(docs, empty, weak):
     assert got == want and exact.groups(empty).count() == 0
 
 
+def test_exact_leaves_one_row_of_each_text(docs, empty, spark):
+    """Rows with the same id and text, and texts that have only null ids, too."""
+    more = docs.unionByName(spark.createDataFrame([(None, t, "en", "b", 1, 1, 1, "k") for t in ("only null ids", "ONLY null ids", "only null ids")] + [(77, "twice", "en", "b", 1, 1, 1, "k")] * 2, SCHEMA))
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    out = exact.keep_one(more)
+    assert out.columns == more.columns
+    assert sorted(lower(t) for _, t in texts(out)) == sorted({lower(t) for _, t in texts(more)})
+    assert exact.keep_one(empty).count() == 0
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000), (5, 5)]
     by = defaultdict(set)
