@@ -20,8 +20,8 @@ from . import common as C
 
 BITS = 14
 DIM = 1 << BITS
-#: Documents of the sample for each language (on average), and languages learned (the most frequent ones).
-SAMPLE, LANGUAGES = 800, 200
+#: Documents of the sample for each language (on average).
+SAMPLE = 800
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 0.5, 1.0, 1e-4, 1e-4, 3, 5
 
 
@@ -93,12 +93,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     """Over `docs(doc_id, text, lang)`: names, idf, weights, temperature; None without a training row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     learn = own.where("lang is not null and text is not null").where(C.fold_of(F.col("doc_id"), 4) != 2)
-    found = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    found = learn.groupBy("lang").count().collect()  # every language is learned
     if not found:
         return None
     share = {r.lang: min(1.0, sample / r["count"]) for r in found}
-    rate = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    chosen = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < rate * (1 << 20))
+    rates = learn.sparkSession.createDataFrame(list(share.items()), "lang string, rate double")
+    rate = F.col("rate")
+    chosen = learn.join(F.broadcast(rates), "lang").select("doc_id", "text", "lang", "rate").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < rate * (1 << 20))
     schema = C.arrow_schema("doc_id long, lang string, at binary, n binary")
 
     def features(it):

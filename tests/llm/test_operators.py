@@ -316,6 +316,12 @@ def test_langid(spark):
     assert {r.lang_pred for r in langid.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_learns_every_language(spark):
+    rows = [(i, " ".join([f"{chr(0x4E00 + i % 210)}{chr(0x5E00 + i % 210)}"] * 5), f"l{i % 210}") for i in range(210 * 8)]
+    names = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0]
+    assert names == sorted({r[2] for r in rows})
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact(docs, empty, weak):
     from pyspark.sql import functions as F
