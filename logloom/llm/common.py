@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +25,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none (tests, local mode)."""
+    """The shared folder of the cluster; a temporary one only in local mode, and only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="logloom-"))
     return f"file://{_local[0]}"
@@ -76,12 +79,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of `df` (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def batches_of(it, rows: int = SLICE):
     for b in it:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
 
 
+#: Texts worked on together, and their bytes: the more, the fewer times a word is looked up.
+ROWS, BATCH_BYTES = 2048, 16 << 20
+
+
+def batches_of_text(it, column: int):
+    """Arrow batches cut to ROWS rows and BATCH_BYTES of the text column, or to one row."""
+    for b in it:
+        if not b.num_rows:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            n = max(int(np.searchsorted(sizes[at : at + ROWS], before + BATCH_BYTES, side="right")), 1)
+            yield b.slice(at, n)
+            at += n
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -93,42 +125,55 @@ def fold_of(doc_id, k: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
-_SUMS = "slot int, pid int, blob binary"
+#: Vectors that a task, or at the end the driver, adds up.
+FAN_IN = 32
+_SUMS = "pid int, blob binary"
 
 
-def partial_sums(df: DataFrame, fn, width: int, slots: int = 32) -> np.ndarray:
+def partial_sums(df: DataFrame, fn, width: int, fan_in: int = FAN_IN) -> np.ndarray:
     """Sum over partitions of `fn(batches) -> float64[width]`, in a fixed order.
 
-    Each partition gives one vector; `slots` tasks add those of their slot, and the driver adds `slots` vectors:
-    what it receives is slots * width * 8 bytes whatever the input.
+    Each partition gives one vector; they are added `fan_in` at a time, in rounds, until the driver adds the last
+    `fan_in`. So no task and no driver holds more than fan_in * width * 8 bytes, whatever the number of partitions.
     """
-    schema = arrow_schema(_SUMS)
+    schema, spark = arrow_schema(_SUMS), df.sparkSession
 
     def run(it):
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
         blob = np.ascontiguousarray(fn(it), dtype=np.float64).tobytes()
-        yield pa.RecordBatch.from_pydict({"slot": [pid % slots], "pid": [pid], "blob": [blob]}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"pid": [TaskContext.get().partitionId()], "blob": [blob]}, schema=schema)
 
-    def merge(table):
-        rows = sorted(zip(table.column("pid").to_pylist(), table.column("blob").to_pylist(), strict=True))
+    def added(pids, blobs):
         total = np.zeros(width)
-        for _, b in rows:
-            total += np.frombuffer(b)
-        return pa.table({"slot": [table.column("slot")[0].as_py()], "pid": [0], "blob": [total.tobytes()]}, schema=schema)
+        for _, b in sorted(zip(pids, blobs, strict=True)):
+            total += np.frombuffer(bytes(b))
+        return total
+
+    def merge(table):
+        pids = table.column("pid").to_pylist()
+        return pa.table({"pid": [pids[0] // fan_in], "blob": [added(pids, table.column("blob").to_pylist()).tobytes()]}, schema=schema)
 
-    total = np.zeros(width)
-    for r in sorted(df.mapInArrow(run, _SUMS).groupBy("slot").applyInArrow(merge, _SUMS).collect()):
-        total += np.frombuffer(bytes(r.blob))
-    return total
+    at = store(df.mapInArrow(run, _SUMS), "sums")
+    left = (spark.read.schema(_SUMS).parquet(at).agg(F.max("pid")).first()[0] or 0) + 1
+    while left > fan_in:
+        left, before = -(-left // fan_in), at
+        at = store(spark.read.schema(_SUMS).parquet(before).groupBy(F.expr(f"pid div {fan_in}")).applyInArrow(merge, _SUMS), "sums")
+        drop(spark, before)
+    rows = spark.read.schema(_SUMS).parquet(at).collect()
+    drop(spark, at)
+    return added([r.pid for r in rows], [r.blob for r in rows])
 
 
 def ordered_prefix(df: DataFrame, order: list, value: str, tag: str, before: str = "before", position: str = "position") -> DataFrame:
+    return ordered_prefix_at(df, order, value, tag, before, position)[0]
+
+
+def ordered_prefix_at(df: DataFrame, order: list, value: str, tag: str, before: str = "before", position: str = "position") -> tuple[DataFrame, str]:
     """`df` with `before`: the sum of `value` over all rows earlier in `order`, and `position`: their number.
 
     One range shuffle, a running sum in each partition, and one offset for each partition added afterwards; the
-    driver sees one row for each partition. Nulls in `value` count 0. Rows equal in `order` come in any order.
+    driver sees one row for each partition. Also returns where the table lies that it reads. Nulls in `value` count 0. Rows equal in `order` come in any order.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -146,17 +191,15 @@ def ordered_prefix(df: DataFrame, order: list, value: str, tag: str, before: str
                 total, count = int(after[-1]), count + len(v)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), pid, np.int32)), pa.array(after - v), pa.array(pos), pa.array(after)], names=[*b.schema.names, "_pid", before, position, "_after"])
 
-    t = materialize(ranged.mapInArrow(run, schema), tag)
+    at = store(ranged.mapInArrow(run, schema), tag)
+    t = spark.read.schema(schema).parquet(at)
     rows, sums, s, c = [], t.groupBy("_pid").agg(F.max("_after").alias("s"), F.count("*").alias("c")).collect(), 0, 0
     for r in sorted(sums):
         rows.append((r[0], s, c))
         s, c = s + r.s, c + r.c
     offsets = spark.createDataFrame(rows, "_pid int, _s long, _c long")  # one row for each partition
-    return (
-        t.join(F.broadcast(offsets), "_pid")
-        .withColumns({before: F.col(before) + F.col("_s"), position: F.col(position) + F.col("_c")})
-        .drop("_pid", "_s", "_c", "_after")
-    )
+    out = t.join(F.broadcast(offsets), "_pid").withColumns({before: F.col(before) + F.col("_s"), position: F.col(position) + F.col("_c")})
+    return out.drop("_pid", "_s", "_c", "_after"), at
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

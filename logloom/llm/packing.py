@@ -10,8 +10,9 @@ vocabulary). A window starts with a seed and is filled with the unused documents
 that crosses the end is cut, and its rest is the next seed. What is left at a shard's end is cut into sequences of
 power-of-two lengths, which need no padding: no sequence has any.
 
-Cases: null text counts as empty and is the end id alone; repeated rows are documents of their own; an empty table
-gives an empty result; other columns are ignored; a document longer than a shard is a shard with more windows.
+Cases: null text counts as empty and is the end id alone; repeated rows are documents of their own, also where ids are
+repeated or null; documents that score alike come in the shard's order; an empty table gives an empty result; other
+columns are ignored; a document longer than a shard is a shard with more windows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import ROWS, cached
+from .tokens import cached
 
 LENGTH, SHARD_TOKENS = 1024, 1 << 18
 K1, B = 1.2, 0.75
@@ -42,7 +43,7 @@ def _tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         tok, rid = cached(tokenizer), TaskContext.get().partitionId() << 33
         end = np.array([end_id], tok.dtype).tobytes()
-        for b in C.batches_of(it, ROWS):
+        for b in C.batches_of_text(it, 1):
             ids = [x + end for x in tok.encode_many(b.column(1))]
             n = [len(x) // tok.dtype.itemsize for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(ids))), b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
@@ -51,6 +52,12 @@ def _tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TOKENS)
 
 
+def distinct(d: np.ndarray) -> np.ndarray:
+    """The distinct ids, ascending; ids of two bytes are sorted by radix."""
+    s = np.sort(d, kind="stable")
+    return s[np.flatnonzero(np.append(True, s[1:] != s[:-1]))] if len(s) else s
+
+
 def _neighbourhood(tokens: DataFrame, idf: np.ndarray, shared: np.ndarray, dtype) -> DataFrame:
     """rid, n, lies (where the document's group lies), grp and near, by which the documents are put in order;
     `shared` says which ids count."""
@@ -64,7 +71,7 @@ def _neighbourhood(tokens: DataFrame, idf: np.ndarray, shared: np.ndarray, dtype
         for b in C.batches_of(it):
             near, bands = [], []
             for x in b.column(2).to_pylist():
-                d = np.frombuffer(x, dtype)
+                d = distinct(np.frombuffer(x, dtype))
                 d = d[weight[d] > 0]
                 if not len(d):
                     near.append((1 << 63) - 1)
@@ -76,39 +83,50 @@ def _neighbourhood(tokens: DataFrame, idf: np.ndarray, shared: np.ndarray, dtype
                 bands.append(h ^ (h >> 31))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    t = C.materialize(tokens.select("rid", "n", "ids").mapInArrow(run, _NEAR), "pack-near")
+    at = C.store(tokens.select("rid", "n", "ids").mapInArrow(run, _NEAR), "pack-near")
+    t = tokens.sparkSession.read.schema(_NEAR).parquet(at)
     each = t.select("rid", "near", F.explode("bands").alias("band"))
     groups = C.materialize(each.groupBy("band").agg(F.count("*").alias("size"), F.min("near").alias("place")).where("size > 1"), "pack-groups")
     of = each.join(groups, "band").groupBy(F.col("rid").alias("r")).agg(F.min(F.struct("size", "band", "place")).alias("g"))
-    return t.join(of, t.rid == of.r, "left").select("rid", "n", F.coalesce("g.place", "near").alias("lies"), F.coalesce("g.band", F.lit(0)).alias("grp"), "near")
+    out = C.materialize(t.join(of, t.rid == of.r, "left").select("rid", "n", F.coalesce("g.place", "near").alias("lies"), F.coalesce("g.band", F.lit(0)).alias("grp"), "near"), "pack-lies")
+    C.drop(tokens.sparkSession, at)
+    return out
 
 
 class Index:
     """BM25 over the documents of a shard; each document a list of token ids."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.docs, self.idf = docs, idf
-        terms, owner, weight = [], [], []
-        self.terms = []
-        for i, d in enumerate(docs):
-            t, tf = np.unique(d, return_counts=True)
-            t = t.astype(np.int64)
-            self.terms.append(t)
-            terms.append(t)
-            owner.append(np.full(len(t), i, np.int32))
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean)))
-        t, o, w = np.concatenate(terms), np.concatenate(owner), np.concatenate(weight)
-        by = np.argsort(t, kind="stable")
-        self.owner, self.weight = o[by], w[by]
-        self.at = np.searchsorted(t[by], np.arange(len(idf) + 1))
+        self.docs, n = docs, len(docs)
+        sizes = np.array([*map(len, docs)])
+        small = len(idf) * n < 1 << 32
+        key = np.concatenate(docs).astype(np.uint32 if small else np.uint64) * np.asarray(n, np.uint32 if small else np.uint64)
+        key += np.repeat(np.arange(n, dtype=key.dtype), sizes)
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        tf, key = np.diff(np.append(first, len(key))), key[first]
+        t, self.owner = (key // n).astype(np.int64), (key % n).astype(np.int64)
+        self.weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.owner] / mean))
+        self.at = np.searchsorted(t, np.arange(len(idf) + 1))
+        # terms of a quarter of the documents or more are kept as rows, whose number is at most four times a document's terms
+        self.row = np.full(len(idf), -1, np.int64)
+        often = np.flatnonzero(np.diff(self.at) * 4 >= len(docs))
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(docs)))
+        r = self.row[t]
+        self.rows[r[r >= 0], self.owner[r >= 0]] = self.weight[r >= 0]
 
     def scores(self, i: int) -> np.ndarray:
         """Of all documents for document i, by all its terms."""
-        t = self.terms[i]
+        t = distinct(self.docs[i]).astype(np.int64)
+        r = self.row[t]
+        out, t = self.rows[r[r >= 0]].sum(0), t[r < 0]
+        if not len(t):
+            return out
         n = self.at[t + 1] - self.at[t]
         ends = np.cumsum(n)
         where = np.repeat(self.at[t] - (ends - n), n) + np.arange(ends[-1])
-        return np.bincount(self.owner[where], weights=self.weight[where], minlength=len(self.docs))
+        return out + np.bincount(self.owner[where], weights=self.weight[where], minlength=len(self.docs))
 
 
 def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -132,7 +150,8 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int =
                 s[~unused] = -1
                 most = min(room, len(s))
                 best = np.argpartition(-s, most - 1)[:most] if most < len(s) else np.arange(len(s))
-                line = [i for i in best[np.lexsort((-best, s[best]))].tolist() if s[i] > 0]
+                best = best[s[best] > 0]
+                line = best[np.lexsort((-best, s[best]))].tolist()
             while line and not unused[line[-1]]:
                 line.pop()
             if line:
@@ -167,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
         for b in C.batches_of(it):
             for x in b.column(0).to_pylist():
                 d = np.frombuffer(x, dtype)
-                out[np.unique(d)] += 1
+                out[distinct(d)] += 1
                 out[-1] += len(d)
                 out[-2] += 1
         return out
@@ -176,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     count, mean = stats[-2], stats[-1] / max(stats[-2], 1)
     idf = np.log1p((count - stats[:-2] + 0.5) / (stats[:-2] + 0.5)).astype(np.float32)
     shared = (stats[:-2] > 1) & (np.arange(width) != end_id)
-    near = C.materialize(_neighbourhood(tokens, idf, shared, dtype), "pack-lies")
+    near = _neighbourhood(tokens, idf, shared, dtype)
     order = C.ordered_prefix(near, ["lies", "grp", "near", "rid"], "n", "pack-order")
     shard = order.select(F.col("rid").alias("r"), (F.col("before") / SHARD_TOKENS).cast("long").alias("shard"), F.col("position").alias("place"))
     dealt = tokens.join(shard, tokens.rid == shard.r).select("shard", "place", "doc_id", "ids")
