@@ -1,12 +1,14 @@
 """Language identification: multinomial logistic regression over TF-IDF character n-grams, trained by
 follow-the-regularised-leader with elastic-net penalties, then calibrated by a temperature.
 
-N-grams of one to three characters are hashed into DIM columns; document frequencies are counted over all documents
-and whole texts. The classifier is fitted on a bounded sample of the training rows: about SAMPLE documents for each
-language, by a hash of the id; nine tenths train the weights and one tenth the temperature.
+N-grams of one to three characters are hashed into DIM columns; document frequencies are counted over all training rows
+and whole texts, and over no others. The classifier is fitted on a bounded sample of the training rows: about SAMPLE documents for each
+language, by a hash of the id; nine tenths train the weights and one tenth the temperature. Every language of the
+training rows is learned.
 
 Cases: a null text, or one without a letter, is `und` with score 0; equal texts get equal results; without any
-training row all are `und`; an empty table gives an empty result; other columns are ignored.
+training row all are `und`; of languages that score alike the first by name is taken; very long texts are counted whole;
+repeated rows and ids come out each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,21 +107,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     def features(it):
         for b in C.batches_of(it):
             f = [counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.astype("<u2").tobytes() for a, _ in f], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in f], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.astype("<u2").tobytes() for a, _ in f], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in f], pa.binary())], schema=schema)
 
     def frequencies(it):
         out = np.zeros(DIM + 1)
         for b in C.batches_of(it):
             for t in b.column(0).to_pylist():
                 out[-1] += 1
-                if t:
-                    out[counts(t)[0]] += 1
+                out[counts(t)[0]] += 1
         return out
 
-    df = C.partial_sums(docs.select("text"), frequencies, DIM + 1)
+    df = C.partial_sums(learn.select("text"), frequencies, DIM + 1)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     rows = sorted((r.doc_id, r.lang, bytes(r["at"]), bytes(r.n)) for r in chosen.mapInArrow(features, "doc_id long, lang string, at binary, n binary").collect())
-    rows = [(d, y, np.frombuffer(a, "<u2"), np.frombuffer(n, "<u2")) for d, y, a, n in rows]
+    rows = [(d, y, np.frombuffer(a, "<u2"), np.frombuffer(n, "<u4")) for d, y, a, n in rows]
     if not rows:
         return None
     names = sorted({r[1] for r in rows})
