@@ -1,17 +1,18 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared on windows.
 
-Two dictionaries come from a bounded sample of labelled rows. The ordinary one is trained by zstandard on windows of
-ordinary documents. The toxic one is a raw-content dictionary of the segments of toxic documents that set them apart
-(zstandard's own training prefers what is frequent, which in toxic documents is ordinary text). Windows hold the
-distinct words of the whole text in their order; each is compressed with the ordinary dictionary, and with the toxic
-one behind it: the bytes saved are its distance to ordinary text less that to toxic text. A window begins with an
-anchor that both dictionaries end with, so that a first match need not also pay for a compressed block's headers. A
-logistic curve over the strongest savings and the numbers of windows above each of several thresholds, fitted on
-documents the dictionaries have not seen, gives the score.
-
-Cases: null counts as empty; a text without words has no windows, and all its features are 0; equal texts get equal scores;
-without labels of both kinds every score is the base rate (0 without any label); an empty table gives an empty
-result; other columns are ignored.
+Two dictionaries are trained by zstandard, from a bounded sample of labelled rows: the ordinary one on windows of
+ordinary documents, the toxic one on those words of toxic documents that set them apart, as often as they stand there
+(on whole toxic documents zstandard keeps what is frequent, which is ordinary text). Both are used as content, ended by
+an anchor that every window begins with, so that a first match need not also pay for a compressed block's headers. The
+whole running text is cut into windows of a word or two; each is compressed with either dictionary, and the bytes that
+the toxic one saves are its distance to ordinary text less that to toxic text. A logistic curve over the strongest
+savings and the numbers of windows above each of several thresholds, fitted on documents the dictionaries have not
+seen, gives the score.
+
+Cases: null counts as empty; a text without words has no windows, and all its features are 0; equal texts get equal
+scores; very long texts are scored whole, and can be in the sample; repeated rows come out each, of repeated labels the
+larger counts; without labels of both kinds every score is the base rate (0 without any label); an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,31 +27,41 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Documents of the sample for each label (on average) and their longest text; sizes of the dictionaries in bytes.
-SAMPLE, SAMPLE_CHARS, ORDINARY_BYTES, TOXIC_BYTES = 1500, 20_000, 16_384, 8_192
-WINDOW, THRESHOLD = 64, 0.7
+#: Documents of the sample for each label (on average), ordinary windows drawn from it, sizes of the dictionaries in bytes.
+SAMPLE, DRAWN, ORDINARY_BYTES, TOXIC_BYTES = 1500, 40_000, 16_384, 4_096
+#: Bytes of a window; longer words than LONGEST are cut into overlapping parts.
+WINDOW, LONGEST, THRESHOLD = 10, 64, 0.7
 #: Shortest match of the compressors, so that fragments of words do not match; what windows and dictionaries share.
-SHORTEST, ANCHOR = 6, bytes([*range(1, 9), *range(14, 31)]) + b"<=>~^`{}"
+SHORTEST, ANCHOR = 5, bytes([*range(1, 9), *range(14, 31)]) + b"<=>~^`{}"
+#: Windows whose savings a worker remembers; all are forgotten beyond it.
+REMEMBERED = 400_000
 #: How many of the strongest savings, and which bytes saved, count; how much each counts is fitted.
-STRONGEST, SAVINGS = 4, (3, 4, 5, 6)
+STRONGEST, SAVINGS = 4, (2, 3, 4, 5, 6, 8)
 #: Lengths of runs of characters that are weighed, how much more frequent they must be in toxic texts, how many are kept.
 RUNS, LIFT, COVER, SEGMENTS, MARKS = (5, 6, 7, 8, 9, 10), 12, 4, 600, ".,!?*#$%&|"
 
 
+def words(text: str | None) -> list[bytes]:
+    """The words of the whole text, lowered and without MARKS at their ends; a long one as overlapping parts."""
+    out = []
+    for w in (text or "").lower().split():
+        w = w.strip(MARKS).encode()
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out += [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+    return [w for w in out if w]
+
+
 def windows(text: str | None) -> list[bytes]:
-    """The distinct words of the whole text, lowered and without MARKS at their ends, in runs of about WINDOW bytes; a
-    longer word is cut into overlapping parts."""
+    """The running text in runs of words of about WINDOW bytes."""
     out, line, n = [], [], 0
-    for w in dict.fromkeys([w.strip(MARKS) for w in (text or "").lower().split()]):
-        w = w.encode()
-        if not w:
-            continue
-        for part in (w,) if len(w) <= WINDOW else (w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)):
-            if n + len(part) > WINDOW and line:
-                out.append(b" " + b" ".join(line) + b" ")
-                line, n = [], 0
-            line.append(part)
-            n += len(part) + 1
+    for w in words(text):
+        if line and n + len(w) > WINDOW:
+            out.append(b" " + b" ".join(line) + b" ")
+            line, n = [], 0
+        line.append(w)
+        n += len(w) + 1
     if line:
         out.append(b" " + b" ".join(line) + b" ")
     return out
@@ -108,26 +119,33 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 class Distances:
-    """Bytes that the toxic dictionary saves on each window."""
+    """Bytes that the toxic dictionary saves on each window, compared with the ordinary one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard
 
-        how = zstandard.ZstdCompressionParameters(
-            window_log=16, chain_log=16, hash_log=16, search_log=4, min_match=SHORTEST, strategy=zstandard.STRATEGY_DFAST,
-            write_content_size=False, write_checksum=False, write_dict_id=False,
-        )
+        how = zstandard.ZstdCompressionParameters.from_level(3, min_match=SHORTEST, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def compressor(content):
             d = zstandard.ZstdCompressionDict(content + ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
-        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)
+        self.plain, self.toxic = compressor(ordinary), compressor(toxic)
+        self.known: dict[bytes, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
-        plain, both = self.plain, self.both
-        return np.array([len(plain(ANCHOR + w)) - len(both(ANCHOR + w)) for w in windows(text)], np.int64)
+        plain, toxic, known = self.plain, self.toxic, self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        out = []
+        for w in windows(text):
+            v = known.get(w)
+            if v is None:
+                x = ANCHOR + w
+                v = known[w] = len(plain(x)) - len(toxic(x))
+            out.append(v)
+        return np.array(out, np.int64)
 
 
 def features(saved: np.ndarray) -> list[float]:
@@ -135,7 +153,7 @@ def features(saved: np.ndarray) -> list[float]:
     if not len(saved):
         return [0.0] * (STRONGEST + len(SAVINGS) + 1)
     top = [*np.sort(saved)[::-1][:STRONGEST].tolist(), *[0] * STRONGEST][:STRONGEST]
-    return [*(min(max(v, -2), 10) / 8 for v in top), *(float(np.log1p((saved >= k).sum())) for k in SAVINGS), float(np.log1p(len(saved)))]
+    return [*(min(max(v, -4), 16) / 8 for v in top), *(float(np.log1p((saved >= k).sum())) for k in SAVINGS), float(np.log1p(len(saved)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -164,9 +182,20 @@ def fit(sample: list[tuple[int, str, int]]):
     if not toxic or not ordinary or len({r[2] for r in second}) < 2:
         first = second = sample
         toxic, ordinary = ([t for _, t, v in first if v == k] for k in (1, 0))
-    plain = _dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)[:40]][:40_000])
-    segments = toxic_segments(toxic, ordinary)
-    toxic_part = b"".join(w.encode() for w in segments)[-TOXIC_BYTES:]
+    drawn = [w for t in ordinary for w in windows(t)]
+    drawn = drawn if len(drawn) <= DRAWN else random.Random(2).sample(drawn, DRAWN)
+    plain = _dictionary(ORDINARY_BYTES, drawn)
+    segments = [x.encode() for x in toxic_segments(toxic, ordinary)]
+    telling: dict[bytes, bool] = {}
+    occurrences = []
+    for t in toxic:
+        for w in words(t):
+            w = b" " + w + b" "
+            if w not in telling:
+                telling[w] = any(x in w for x in segments)
+            if telling[w]:
+                occurrences.append(w)
+    toxic_part = _dictionary(TOXIC_BYTES, occurrences)
     d = Distances(plain, toxic_part)
     saved = [d.of(t) for _, t, _ in second]
     label = np.array([r[2] for r in second], float)
@@ -181,7 +210,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     chosen = y.where(F.pmod(F.xxhash64("l", F.lit("toxicity")), F.lit(1 << 20)) < rate * (1 << 20))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the sample's ids are about SAMPLE for each label whatever the input, so the texts stay where they are
-    rows = own.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("l")).select("doc_id", "text", "y").collect()
+    rows = own.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("l")).select("doc_id", "text", "y").collect()
     model = fit(sorted((r.doc_id, r.text, int(r.y)) for r in rows))
     schema = C.arrow_schema("doc_id long, score double")
 
