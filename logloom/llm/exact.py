@@ -3,26 +3,32 @@
 A memtable is a part of the documents; its flush writes a run: (digest, doc_id), sorted by digest in each file, with
 a Parquet Bloom filter on the digest. Compaction merges FANOUT runs at a time, level by level, into runs of one row
 for each digest: the identifier that is kept and the number of rows. Digests with several rows are hits: their
-documents are found again through a bitmap filter over document ids, and verified by their bytes: they are grouped by
-digest and text, so that equal digests of different texts would be told apart.
+documents are found again through a bitmap filter over document ids (where there are few enough of them for it to tell
+ids apart) and a semi-join on the digest, and verified by their bytes: they are grouped by digest and text, so that
+equal digests of different texts would be told apart. `find` looks single texts up in the merged run, whose Bloom
+filters tell in which row groups a digest can be.
 
 Groups are pre-aggregated wherever rows are grouped, so a group of any size costs one row from each task.
 
 Cases: null counts as empty; texts are compared after lowering A-Z alone; a null doc_id is less than any other;
-repeated rows come out each (with the same id they are all kept); an empty table gives an empty result; other columns
-are ignored.
+repeated rows come out each (with the same id they are all kept; `keep_one` leaves one); very long texts are digested
+whole; an empty table gives an empty result; other columns, whatever their names, are ignored by `groups` and kept by
+`keep_one`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 MEMTABLES, FANOUT = 8, 4
-#: Bits of the filter over ids of hits: at most 1024 rows of 4 KiB are broadcast, whatever the input.
-FILTER_BUCKETS = 1024
+#: The filter over ids of hits has 16 bits for each, in rows of 4 KiB; with more rows than this (16 MiB) none is used.
+FILTER_BUCKETS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,8 +45,8 @@ def sha256(norm: Column) -> Column:
 class DigestIndex:
     """Runs below `path`: level 0 as flushed, further levels as merged. `keep` is max or min of the identifiers."""
 
-    def __init__(self, spark, path: str, keep: str = "max", digest=sha256):
-        self.spark, self.path, self.digest = spark, path, digest
+    def __init__(self, spark, path: str, keep: str = "max", digest=sha256, filter_buckets: int = FILTER_BUCKETS):
+        self.spark, self.path, self.digest, self.filter_buckets = spark, path, digest, filter_buckets
         self.best = {"max": F.max, "min": F.min}[keep]
 
     def _write(self, df: DataFrame, to: str, *by: str) -> None:
@@ -67,21 +73,32 @@ class DigestIndex:
     def verify(self, docs: DataFrame, level0: DataFrame, merged: DataFrame) -> DataFrame:
         """Of hits: digest, norm (the bytes), keep_id, n. One row for each digest unless digests collide."""
         hits = merged.where("n > 1").select(F.col("digest").alias("d"))
-        position = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS * 32768)) + 1
-        ids = level0.join(hits, level0.digest == hits.d, "left_semi").select(position(F.col("doc_id")).alias("p"))
-        bitmap = C.materialize(ids.groupBy(F.bitmap_bucket_number("p").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")), "exact-filter")
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("p", position(F.col("doc_id")))
-        bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1")
-        maybe = own.join(F.broadcast(bitmap), F.bitmap_bucket_number("p") == F.col("slot")).where(bit == 1)
-        rows = maybe.select("doc_id", normalized(F.col("text")).alias("norm")).select(self.digest(F.col("norm")).alias("digest"), "norm", "doc_id")
+        found = merged.where("n > 1").agg(F.sum("n")).first()[0] or 0
+        buckets = -(-16 * found // 32768) or 1
+        position = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets * 32768)) + 1
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        if buckets <= self.filter_buckets:
+            ids = level0.join(hits, level0.digest == hits.d, "left_semi").select(position(F.col("doc_id")).alias("p"))
+            bitmap = C.materialize(ids.groupBy(F.bitmap_bucket_number("p").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")), "exact-filter")
+            bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1")
+            own = own.withColumn("p", position(F.col("doc_id"))).join(F.broadcast(bitmap), F.bitmap_bucket_number("p") == F.col("slot")).where(bit == 1)
+        rows = own.select("doc_id", normalized(F.col("text")).alias("norm")).select(self.digest(F.col("norm")).alias("digest"), "norm", "doc_id")
         same = rows.groupBy("digest", "norm").agg(self.best("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        if buckets > self.filter_buckets:  # most rows can be no hits: they go before they are grouped
+            rows = rows.join(hits, rows.digest == hits.d, "left_semi")
+            return rows.groupBy("digest", "norm").agg(self.best("doc_id").alias("keep_id"), F.count("*").alias("n"))
         return same.join(hits, same.digest == hits.d, "left_semi")
 
+    def find(self, merged: DataFrame, texts: list[str]) -> DataFrame:
+        """Rows of the merged run for a few texts: digest, keep_id, n."""
+        wanted = [r[0] for r in self.spark.createDataFrame([(t,) for t in texts], "text string").select(self.digest(normalized(F.col("text")))).collect()]
+        return merged.where(reduce(or_, [F.col("digest") == d for d in wanted], F.lit(False)))
+
 
-def groups(docs: DataFrame, keep: str = "max", digest=sha256, memtables: int = MEMTABLES) -> DataFrame:
+def groups(docs: DataFrame, keep: str = "max", digest=sha256, memtables: int = MEMTABLES, filter_buckets: int = FILTER_BUCKETS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of `docs(doc_id, text)`."""
     spark = docs.sparkSession
-    index = DigestIndex(spark, C.scratch_path(spark, "exact-index"), keep, digest)
+    index = DigestIndex(spark, C.scratch_path(spark, "exact-index"), keep, digest, filter_buckets)
     level0 = index.flush(docs, memtables)
     merged = index.compact(level0, memtables)
     checked = C.materialize(index.verify(docs, level0, merged).groupBy("digest").agg(F.count("*").alias("texts"), F.sum("n").alias("n")), "exact-checked")
@@ -101,12 +118,13 @@ def groups(docs: DataFrame, keep: str = "max", digest=sha256, memtables: int = M
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The documents that stay, with their columns: one row of each text, also where id and text are repeated."""
-    rows = groups(docs, keep).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    kept = C.materialize(rows.agg(F.count("*").alias("_rows")), "exact-kept")
-    own = docs.withColumn("_sha", sha256(normalized(F.col("text"))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    repeated = kept.where("_rows > 1")
-    out = own.join(kept.where("_rows = 1"), same, "left_semi")
+    kept_id, kept_sha, sha, many = C.free(docs, "_kept_id", "_kept_sha", "_sha", "_rows")
+    rows = groups(docs, keep).where("kept").groupBy(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    kept = C.materialize(rows.agg(F.count("*").alias(many)), "exact-kept")
+    own = docs.withColumn(sha, sha256(normalized(F.col("text"))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
+    repeated = kept.where(F.col(many) > 1)
+    out = own.join(kept.where(F.col(many) == 1), same, "left_semi")
     if not repeated.isEmpty():
-        out = out.unionByName(own.join(repeated, same, "left_semi").dropDuplicates(["_sha"]))
-    return out.drop("_sha")
+        out = out.unionByName(own.join(repeated, same, "left_semi").dropDuplicates([sha]))
+    return out.drop(sha)

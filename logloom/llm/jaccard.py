@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, 4/5 or more: an exact set-similarity join.
+"""The exact part of near-duplicate removal (`simhash.keep_one`): texts whose word shingles have a Jaccard similarity of
+4/5 or more, starting from the candidates that SimHash signatures give.
 
 The shingles of a text are put in one order that all texts share, those that are frequent in a sample last. Two sets
 that are similar enough have a shingle in common among the first fifth of each (prefix filter), and from where their
@@ -7,11 +8,12 @@ What the order is does not matter to the result, so the sample costs no pair. Ca
 sets before they are linked, so that the components are those of brute force.
 
 A shingle shared by many texts would give the square of their number in pairs. Where that is so, its texts are
-compared with one of them first, and pairs of texts that are linked by then are left out; ROUNDS times at most, after
-which all pairs that are left are compared.
+compared with one of them first, and pairs of texts that are linked by then are left out; ROUNDS times at most, or until
+the pairs that are left are no more than DENSE for each document, after which all of them are compared.
 
 Cases: a text with fewer than WORDS words is one shingle, one without words too, so these are linked; null counts as
-empty; equal sets are one set (told apart by 64 bits); an empty table gives an empty result; other columns are ignored.
+empty; equal sets are one set (told apart by 64 bits); very long texts are compared whole; of rows with one id and text
+one stays; an empty table gives an empty result; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .simhash import _LOWER
+from .simhash import _LOWER, THRESHOLD, candidates, of_hashes
 
 WORDS = 5
 #: Documents sampled for the order, and the most shingles that it tells apart from rare ones (16 bytes each are broadcast).
 SAMPLE, FREQUENT = 8000, 1 << 17
 #: Pairs for each row of a shared shingle from which on its texts are compared with one of them first, and how often.
-DENSE, ROUNDS = 8, 8
+DENSE, ROUNDS = 16, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PREFIX = "doc_id long, digest long, sid long, n int, first binary"
+_PREFIX = "doc_id long, digest long, sid long, n int, first binary, fp long"
+#: Set ids that a task remembers, so that copies of one set leave it once (all are forgotten beyond it).
+SEEN = 400_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -71,14 +75,15 @@ def frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.n
         if total > FREQUENT:
             least = r["count"] + 1
             break
-    rows = np.array(counts.where(F.col("count") >= least).collect(), np.int64).reshape(-1, 2)
-    h = np.ascontiguousarray(rows[:, 0]).view(np.uint64)
+    rows = counts.where(F.col("count") >= least).toArrow()
+    h = rows.column("h").to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(h)
-    return h[by], rows[by, 1]
+    return h[by], rows.column("count").to_numpy()[by]
 
 
 def prefixes(docs: DataFrame, words: int, sample: int) -> DataFrame:
-    """doc_id, digest (of the text), sid (of the set), n (its size), first (32 bits of each shingle of the prefix)."""
+    """doc_id, digest (of the text), sid (of the set), n (its size), first (32 bits of each shingle of the prefix),
+    fp (SimHash fingerprint of the set)."""
     schema = C.arrow_schema(_PREFIX)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, sample))
 
@@ -87,17 +92,18 @@ def prefixes(docs: DataFrame, words: int, sample: int) -> DataFrame:
 
         known, counts = shared.value
         for b in C.batches_of(it):
-            sid, n, first = [], [], []
+            sid, n, first, fp = [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t, words)
                 sid.append(xxh3_64_intdigest(h.tobytes()))
                 n.append(len(h))
+                fp.append(of_hashes(h))
                 take = len(h) - -(-4 * len(h) // 5) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                 first.append((h[:take] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], schema=schema)
 
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, _PREFIX)
 
@@ -108,39 +114,52 @@ def shared_shingles(table: DataFrame) -> DataFrame:
     schema = C.arrow_schema(ddl)
 
     def spread(it):
+        seen: set[int] = set()
         for b in C.batches_of(it):
+            ids = b.column(0).to_pylist()
+            new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            if len(seen) > SEEN:
+                seen.clear()
+            b = b.take(pa.array(new, pa.int64()))
             f = [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
+            if not f:
+                continue
             size = [len(x) for x in f]
             cols = [np.concatenate(f), np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size), np.concatenate([np.arange(k, dtype=np.int32) for k in size])]
             yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, schema, strict=True)], schema=schema)
 
-    def several(token, sid, n, at):
-        new = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]))[: len(token)]
-        token, sid, n, at = token[new], sid[new], n[new], at[new]
-        if not len(token):
-            return
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(starts, len(token)))
-        good = np.repeat((size > 1) & np.logical_or.reduceat(9 * at.astype(np.int64) <= n, starts), size)
-        yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in (token, sid, n, at)], schema=schema)
-
     def run(it):
-        rest = None  # rows of the last shingle so far
+        # of a shingle early rows come first: whether it counts is known from its first row, and once a second set is
+        # met all of its rows are given out as they come; so one row is held, whatever the number of sets
+        held = None  # the first row of the last shingle, while it has no second set
+        last = (None, None)  # shingle and set of the last row
+        counts = False  # the last shingle's first row is early
         for b in it:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(cols[0]):
+            token, sid, n, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(token):
                 continue
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            change = np.flatnonzero(cols[0][1:] != cols[0][:-1])
-            k = int(change[-1]) + 1 if len(change) else 0
-            yield from several(*(c[:k] for c in cols))
-            rest = [c[k:] for c in cols]
-        if rest is not None:
-            yield from several(*rest)
+            head = np.append(token[0] != last[0], token[1:] != token[:-1])
+            new = np.append(head[0] or sid[0] != last[1], head[1:] | (sid[1:] != sid[:-1]))
+            early = 9 * at.astype(np.int64) <= n
+            group = np.cumsum(head)  # 0: the shingle that the batch before ended with
+            good = np.append(counts, early[head])
+            sets = np.bincount(group, weights=new, minlength=len(good)).astype(np.int64)
+            sets[0] += 1 if held is not None else 2  # a second set has been met if none is held
+            keep = new & good[group] & (sets[group] > 1)
+            out = [c[keep] for c in (token, sid, n, at)]
+            if held is not None and good[0] and sets[0] > 1:
+                out = [np.append(h, c) for h, c in zip(held, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, schema, strict=True)], schema=schema)
+            if len(good) > 1:
+                i = int(np.flatnonzero(head)[-1])
+                held = (token[i], sid[i], n[i], at[i]) if sets[-1] == 1 else None
+            elif sets[0] > 1:
+                held = None
+            last, counts = (token[-1], sid[-1]), bool(good[-1])
 
     rows = table.select("sid", "n", "first").mapInArrow(spread, ddl)
-    return rows.repartition(C.partitions(table.sparkSession), "token").sortWithinPartitions("token", "sid", "at").mapInArrow(run, ddl)
+    dealt = rows.repartition(C.partitions(table.sparkSession), "token")
+    return dealt.sortWithinPartitions("token", (9 * F.col("at").cast("long") <= F.col("n")).desc(), "sid").mapInArrow(run, ddl)
 
 
 def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -167,55 +186,69 @@ def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int) ->
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(table: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame | None:
+def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame | None:
     """Components (node, label) of the set ids that are linked; None without any link."""
-    cur = C.materialize(shared_shingles(table).withColumn("label", F.col("sid")), "near-shared")
-    tested = edges = comp = None
+    tested = C.materialize(candidates(table.select("sid", "fp").distinct(), threshold), "near-first")
+    edges = C.materialize(verified(tested, table, docs, words), "near-found")
+    comp = None if edges.isEmpty() else C.components(edges, "near")
+    cur = C.materialize(_labelled(shared_shingles(table), comp), "near-shared")
+    most = DENSE * table.count()
     early = 9 * F.col("at") <= F.col("n")
     fits = lambda p, q: 9 * F.least(F.col(f"{p}.n") - F.col(f"{p}.at"), F.col(f"{q}.n") - F.col(f"{q}.at")) >= 4 * (F.col(f"{p}.n") + F.col(f"{q}.n"))
     for i in range(ROUNDS):
         per = cur.groupBy("token", "label").agg(F.count("*").alias("k"), F.count_if(early).alias("e"))
         size = per.groupBy("token").agg(F.sum("k").alias("s"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("e").alias("e"))
-        size = C.materialize(size.where("pairs > 0").select("token", "s", F.least("pairs", F.col("e") * F.col("s")).alias("pairs")), "near-size")
-        cur = cur.join(size.select("token", (F.col("pairs") > DENSE * F.col("s")).alias("dense")), "token")
-        cur = C.materialize(cur, "near-open")
+        size = size.where("pairs > 0").select("token", "s", F.least("pairs", F.col("e") * F.col("s")).alias("pairs"))
+        size = C.materialize(size.withColumn("dense", F.col("pairs") > DENSE * F.col("s")), "near-size")
+        left = size.where("dense").agg(F.sum("pairs")).first()[0]
+        last = left is None or left <= most or i == ROUNDS - 1
+        cur = C.materialize(cur.join(size.select("token", "dense"), "token"), "near-open")
         if cur.isEmpty():
             break
-        plain = cur if i == ROUNDS - 1 else cur.where("not dense")
+        plain = cur if last else cur.where("not dense")
         one, two = plain.where(early).alias("p"), plain.alias("q")
         pairs = one.join(two, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & fits("p", "q")).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y"))
-        if i < ROUNDS - 1:
+        if not last:
             rank = F.struct((~early).alias("late"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid", "n", "at", "label")
             hub = C.materialize(cur.where("dense").groupBy("token").agg(F.min(rank).alias("h")).select("token", "h.sid", "h.n", "h.at", "h.label"), "near-hub").alias("p")
             rest = cur.where("dense").alias("q")
             pairs = pairs.unionByName(hub.join(rest, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & fits("p", "q")).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y")))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = C.materialize(pairs, "near-pairs")
         found = C.materialize(verified(pairs, table, docs, words), "near-found")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
+        tested, edges = tested.unionByName(pairs), edges.unionByName(found)
         if not found.isEmpty():
             comp = C.components(edges, "near")
-        if cur.where("dense").isEmpty() or i == ROUNDS - 1:
+        if last:
             break
-        cur = cur.where("dense").drop("dense")
-        if comp is not None:
-            cur = cur.drop("label").join(comp, cur.sid == comp.node, "left").select("token", "sid", "n", "at", F.coalesce("label", "sid").alias("label"))
-        cur = C.materialize(cur, "near-next")
+        cur = C.materialize(_labelled(cur.where("dense").select("token", "sid", "n", "at"), comp), "near-next")
     return comp
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> DataFrame:
+def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return rows.withColumn("label", F.col("sid"))
+    return rows.join(comp, rows.sid == comp.node, "left").select("token", "sid", "n", "at", F.coalesce("label", "sid").alias("label"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, threshold: int = THRESHOLD) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id stays (a null id, if the
     component has no other)."""
+    kept_id, kept_digest, many, digest = C.free(docs, "_kept", "_kept_digest", "_rows", "_digest")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = C.materialize(prefixes(own, words, sample), "near-prefix")
-    comp = links(table, own, words)
+    comp = links(table, own, words, threshold)
     rows = table.select("doc_id", "digest", "sid")
     if comp is not None:
         rows = rows.join(comp, rows.sid == comp.node, "left").select("doc_id", "digest", F.coalesce("label", "sid").alias("sid"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")
-    kept = C.materialize(rows.groupBy("sid").agg(best).select(F.col("k.doc_id").alias("_kept"), F.col("k.digest").alias("_digest")), "near-kept")
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_digest")), "left_semi")
+    kept = rows.groupBy("sid").agg(best).select(F.col("k.doc_id").alias("i"), F.col("k.digest").alias("d"))
+    here = table.groupBy(F.col("doc_id").alias("j"), F.col("digest").alias("e")).agg(F.count("*").alias(many))
+    kept = kept.join(here, F.col("i").eqNullSafe(F.col("j")) & F.col("d").eqNullSafe(F.col("e")))
+    kept = C.materialize(kept.select(F.col("i").alias(kept_id), F.col("d").alias(kept_digest), many), "near-kept")
+    marked = docs.withColumn(digest, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
+    out = marked.join(kept.where(F.col(many) == 1), same, "left_semi")
+    if not (repeated := kept.where(F.col(many) > 1)).isEmpty():  # rows with one id and text: one of them stays
+        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", digest]))
+    return out.drop(digest)

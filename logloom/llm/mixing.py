@@ -6,7 +6,8 @@ whole units, and the rest by a seeded order of documents, up to the words wanted
 counts if more than half of it lies before it). So a source comes within half a document of its target.
 
 Cases: a null text has size 0; a null source is a source, the last; a source without words has target 0; documents
-with equal ids are ordered by size; an empty table gives an empty result; other columns are kept by `mix`.
+with equal ids are ordered by size, those of equal size in any order; very long texts are counted whole; an empty table
+gives an empty result; other columns, whatever their names, are kept by `mix`.
 """
 
 from __future__ import annotations
@@ -71,13 +72,14 @@ def mix(docs: DataFrame, weight=cycle_weight, epochs: float = EPOCHS, seed: str
     """
     from pyspark.sql import Window
 
-    times = plan(docs, weight, epochs, seed).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
-    times = C.materialize(times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times", "_rows"), "mix-times")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count() == F.col("_size"))
-    alone = docs.join(times.where("_rows = 1"), on).withColumn("_copies", F.col("_times"))
-    if not (several := times.where("_rows > 1")).isEmpty():
+    of_id, of_source, of_size, taken, rows, copies, nth, copy = C.free(docs, "_id", "_source", "_size", "_times", "_rows", "_copies", "_nth", "_copy")
+    times = plan(docs, weight, epochs, seed).groupBy("doc_id", "source", "size").agg(F.sum("times").alias(taken), F.count("*").alias(rows)).where(F.col(taken) > 0)
+    times = C.materialize(times.select(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("size").alias(of_size), taken, rows), "mix-times")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (word_count() == F.col(of_size))
+    alone = docs.join(times.where(F.col(rows) == 1), on).withColumn(copies, F.col(taken))
+    if not (several := times.where(F.col(rows) > 1)).isEmpty():
         # of r rows alike that are taken t times in all, each is taken floor(t / r) times and t mod r of them once more
-        nth = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
-        more = docs.join(several, on).withColumn("_nth", nth)
-        alone = alone.unionByName(more.withColumn("_copies", F.floor(F.col("_times") / F.col("_rows")) + (F.col("_nth") <= F.col("_times") % F.col("_rows")).cast("long")).drop("_nth").where("_copies > 0"))
-    return alone.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+        rank = F.row_number().over(Window.partitionBy(of_id, of_source, of_size).orderBy(F.xxhash64("text")))
+        more = docs.join(several, on).withColumn(nth, rank)
+        alone = alone.unionByName(more.withColumn(copies, F.floor(F.col(taken) / F.col(rows)) + (F.col(nth) <= F.col(taken) % F.col(rows)).cast("long")).drop(nth).where(F.col(copies) > 0))
+    return alone.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -1,7 +1,9 @@
 """Quality classifier: random Fourier features over document statistics, ridge by normal equations, isotonic calibration.
 
-Cases: a null text counts as empty and is scored like an empty one; rows with equal texts get equal scores; without
-a label in the training folds every score is 0.5; an empty table gives an empty result; other columns are ignored.
+Cases: a null text counts as empty and is scored like an empty one; rows with equal texts get equal scores; very long
+texts are measured whole; of repeated labels the larger counts; a repeated id is a row of its own each time; without a
+label in the training folds every score is 0.5; an empty table gives an empty result; other columns are ignored by
+`score` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -162,21 +164,43 @@ def _moments(it):
     return out
 
 
+def predicted(model, x: np.ndarray) -> np.ndarray:
+    if model is None:
+        return np.full(len(x), 0.5)
+    fourier, weights, (xs, ys) = model
+    return np.round(np.interp(fourier(x) @ weights, xs, ys), 9)
+
+
+def _training(labels: DataFrame) -> DataFrame:
+    return labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y")).where(C.fold_of(F.col("doc_id"), 4) != 2)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that `score` predicts as good, with their columns; all of them where there is no label to learn
+    from. Each row is judged by its own text where it stands: no id is looked at, and no row is moved."""
+    stats = _stats_table(docs)
+    model = fit(stats, _training(labels))
+    if model is None:
+        return docs
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(it):
+        for b in C.batches_of(it):
+            x = np.array([statistics(t) for t in b.column(at).to_pylist()], np.float32).astype(np.float64)
+            yield b.filter(pa.array(predicted(model, x.reshape(-1, STATS)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of `docs(doc_id, text)`; `labels(doc_id, quality)`."""
     stats = _stats_table(docs)
-    y = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y")).where(C.fold_of(F.col("doc_id"), 4) != 2)
-    model = fit(stats, y)
+    model = fit(stats, _training(labels))
     schema = C.arrow_schema("doc_id long, score double")
 
     def run(it):
         for b in it:
-            if model is None:
-                s = np.full(b.num_rows, 0.5)
-            else:
-                fourier, weights, (xs, ys) = model
-                s = np.interp(fourier(matrix(b.column(1))) @ weights, xs, ys)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(s, 9))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(predicted(model, matrix(b.column(1))))], schema=schema)
 
     out = stats.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(C.fold_of(F.col("doc_id"), 4) == 2, F.lit(False))

@@ -10,7 +10,9 @@ given out, never all pairs; a key with more than BLOCK fingerprints is cut into
 covered exactly by tasks that each take two blocks.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and ids come out once
-for each row; an empty table gives an empty result; other columns are ignored.
+for each row from `classes`; a class that has only null ids has a null component_id; very long texts are hashed whole;
+an empty table gives an empty result; other columns, whatever their names, are ignored by `classes` and kept by
+`keep_one`.
 """
 
 from __future__ import annotations
@@ -164,8 +166,33 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) ->
     return table.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """The documents without near copies: of each class the one with the smallest doc_id stays (a null id, if the
-    class has no other)."""
-    kept = classes(docs, threshold, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def of_hashes(h: np.ndarray) -> int:
+    """Fingerprint of a set of shingles by their 64-bit hashes: bits set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 4096):
+        counts += np.unpackbits(h[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+
+
+def candidates(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of `sets(sid, fp)` that are worth comparing: sets of one fingerprint, each with the least of them,
+    and the least ones of fingerprints that the signatures link."""
+    one = C.materialize(sets.groupBy("fp").agg(F.min("sid").alias("least")), "simhash-one")
+    same = sets.join(one, "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    edges = links(one.select("fp"), threshold)
+    of_a, of_b = one.select(F.col("fp").alias("a"), F.col("least").alias("x")), one.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    near = edges.join(of_a, "a").join(of_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near).distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """The documents without near copies: of those linked by a similarity of 4/5 or more of their `words`-word shingles
+    the one with the smallest doc_id stays (a null id, if there is no other), one row of it, with all columns.
+
+    The signatures give the first candidates, which are verified by their whole sets of shingles. What they cannot
+    reach (two texts at 4/5 differ in about ten bits of 64) is found by the exact join of `jaccard`, which starts from
+    the links that the signatures gave and leaves out pairs that these connect.
+    """
+    from . import jaccard
+
+    return jaccard.keep_one(docs, words, threshold=threshold)
