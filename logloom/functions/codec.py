@@ -52,6 +52,26 @@ def has_room(length: Column, entries: Column, budget: Column) -> Column:
     return length + entries * 64 <= budget
 
 
+def segment_object(prefix: Column, ident: Column) -> Column:
+    return F.concat(prefix, F.lit("/segments/"), ident)
+
+
+def next_seqno(record_index: Column) -> Column:
+    """The boundary behind a record."""
+    return record_index + 1
+
+
+def expected_fault(code: Column, fault_observed: Column) -> Column:
+    """Whether an error is to be expected: what ends a writer always, what a fault explains only if one was seen."""
+    return F.when(code.isin("Poisoned", "Fenced", "Closed"), True).when(code.isin("NoReadQuorum", *TRANSIENT, *FENCING), fault_observed).otherwise(False)
+
+
+def flipped(data: Column, at: Column) -> Column:
+    """A binary with all bits of the byte at position `at` (from 0) turned."""
+    other = F.unhex(F.lpad(F.hex(F.lit(255) - F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")), 2, "0"))
+    return F.overlay(data, other, at + 1)
+
+
 def valid_buckets(names: Column) -> Column:
     return F.size(names).isin(1, 3, 5) & (F.size(F.array_distinct(names)) == F.size(names)) & F.forall(names, lambda b: (b != "") & ~F.contains(b, F.lit(",")))
 

@@ -60,6 +60,13 @@ def _as_of(trace: DataFrame, name: str, key: list[str], value, alias: str) -> Da
     return trace.withColumn(alias, F.last(F.when(F.col("event") == name, value), ignorenulls=True).over(w))
 
 
+def _within(rows: DataFrame, known: DataFrame, first: str, last, keep: list[str]) -> DataFrame:
+    """`rows` once for each offset from `first` to `last` that lies within the trace's known offsets."""
+    span = known.groupBy(T).agg(F.min("logical_offset").alias("_lo"), F.max("logical_offset").alias("_hi"))
+    r = rows.join(span, T).withColumns({"_a": F.greatest(F.col(first), F.col("_lo")), "_b": F.least(last, F.col("_hi"))}).where("_a <= _b")
+    return r.select(*keep, F.explode(F.sequence("_a", "_b")).alias("logical_offset"))
+
+
 def quorum_linearizability(trace: DataFrame) -> DataFrame:
     m = "QuorumLinearizability"
     rec = ["logical_offset", "value", "segment"]
@@ -70,9 +77,12 @@ def quorum_linearizability(trace: DataFrame) -> DataFrame:
     known = first.where("nth = 1").select(T, "logical_offset", F.col("seq").alias("c_seq"), F.col("segment").alias("c_segment"), F.struct("value", "segment").alias("c"))
     sel = _of(trace, "RecoverySelected")
     done = _of(trace, "RecoveryCompleted").select(T, "seq", "writer", "segment", F.col("logical_offset").alias("start"), "record_end")
-    reach = done.join(known, T).where("c_seq < seq")
+    # committed records of the recovered segment, by segment; those in the recovered range, by offset
+    on = (F.col(f"d.{T}") == F.col(f"k.{T}")) & (F.col("d.segment") == F.col("k.c_segment")) & (F.col("k.c_seq") < F.col("d.seq"))
+    reach = done.alias("d").join(known.alias("k"), on).select(f"d.{T}", "d.seq", "logical_offset", "record_end")
+    each = _within(done, known, "start", F.col("record_end") - 1, [T, "seq", "writer", "segment"])
     s = sel.select(T, "writer", "logical_offset", F.col("seq").alias("s_seq"), F.struct("value", "segment").alias("s"))
-    inside = reach.where("logical_offset >= start AND logical_offset < record_end")
+    inside = each.join(known, [T, "logical_offset"]).where("c_seq < seq")
     latest = inside.join(s, [T, "writer", "logical_offset"], "left").groupBy(T, "seq", "logical_offset").agg(F.max_by("s", F.when(F.col("s_seq") < F.col("seq"), F.col("s_seq"))).alias("s"), F.first("c").alias("c"))
     canon = _quorum_at(_of(trace, "CanonicalPersisted"), rec)
     need = inside.where("segment = c_segment").select(T, "seq", "logical_offset", F.col("c.value").alias("value"), F.col("c.segment").alias("segment"))
@@ -81,7 +91,7 @@ def quorum_linearizability(trace: DataFrame) -> DataFrame:
         _out(first.where(F.col("first") != ident), m, "A2"),
         _out(order.where("logical_offset <> expected"), m, "A3"),
         _out(sel.join(known, [T, "logical_offset"]).where((F.col("c_seq") < F.col("seq")) & (F.col("c") != ident)), m, "A4"),
-        _out(reach.where("segment = c_segment AND logical_offset >= record_end"), m, "A5"),
+        _out(reach.where("logical_offset >= record_end"), m, "A5"),
         _out(latest.where(F.col("s").isNull() | (F.col("s") != F.col("c"))), m, "A6"),
         _out(_late(need, canon, rec), m, "A7"),
     )
@@ -99,7 +109,9 @@ def seal_safety(trace: DataFrame) -> DataFrame:
     m = "SealAndPrefixSafety"
     sealed = _of(trace, "SegmentSealed")
     known = _of(trace, "RecordFormed", "RecoverySelected").groupBy(T, "logical_offset").agg(F.min("seq").alias("k_seq"))
-    counted = sealed.select(T, "seq", "segment", "record_end").join(known, T).groupBy(T, "seq", "segment", "record_end").agg(F.count_if((F.col("k_seq") < F.col("seq")) & F.col("logical_offset").between(F.col("segment"), F.col("record_end"))).alias("k"))
+    key = [T, "seq", "segment", "record_end"]
+    each = _within(sealed, known, "segment", F.col("record_end"), key).join(known, [T, "logical_offset"]).where("k_seq < seq")
+    counted = sealed.select(*key).join(each.groupBy(*key).agg(F.count("*").alias("k")), key, "left").withColumn("k", F.coalesce("k", F.lit(0)))
     fixed = _as_of(_of(trace, "SegmentSealed", "SealedCopyRepaired"), "SegmentSealed", ["segment"], F.col("record_end"), "sealed_end").where("event = 'SealedCopyRepaired'")
     return _all(
         _out(_late(sealed, _quorum_at(_of(trace, "SegmentFinalized"), ["segment", "record_end"]), ["segment", "record_end"]), m, "A11"),
@@ -116,6 +128,7 @@ def startup_replay(trace: DataFrame) -> DataFrame:
     is_ = lambda n: F.col("event") == n
     opened = F.coalesce(F.sum(F.when(is_("ReplayOpened"), 1).when(is_("ReplayClosed"), -1).otherwise(0)).over(upto()), F.lit(0))
     makes = F.col("event").isin("RecordFormed", "RecoverySelected")
+    ident = F.struct("value", "segment")
     # one pass over each trace: readers open, the floor, what an offset was formed as and how often
     s = t.withColumns(
         {
@@ -123,37 +136,35 @@ def startup_replay(trace: DataFrame) -> DataFrame:
         }
     ).withColumns(
         {
-            "formed": F.first(F.when(makes, F.col("value")), ignorenulls=True).over(upto("logical_offset")),
+            "formed": F.first(F.when(makes, ident), ignorenulls=True).over(upto("logical_offset")),
             "committed_before": F.count_if(is_("RecordCommitted")).over(upto("logical_offset")), "acks": F.count_if(is_("ProducerAcknowledged")).over(upto("logical_offset")),
         }
     )
-    news = s.where(makes & F.col("formed").isNull()).select(T, F.col("seq").alias("seq")).withColumn("n_formed", F.row_number().over(_w()))
+    s = s.withColumn("formed_n", F.coalesce(F.sum((makes & F.col("formed").isNull()).cast("long")).over(upto()), F.lit(0)))
     commits = s.where(is_("RecordCommitted"))
     fresh = commits.withColumn("done", F.coalesce(F.sum((F.col("committed_before") == 0).cast("long")).over(upto()), F.lit(0)))
-    # sizes of the formed set as of each reader's opening
-    op = t.where(is_("ReplayOpened")).select(T, F.col("seq").alias("o_seq"), F.col("logical_offset").alias("start"), F.col("record_end").alias("stop"), "reader")
-    at_open = op.join(news, T, "left").groupBy(T, "o_seq", "start", "stop", "reader").agg(F.count_if(F.col("seq") < F.col("o_seq")).alias("formed_n")).withColumnRenamed("o_seq", "seq")
-    opens = s.where(is_("ReplayOpened")).join(at_open.select(T, "seq", "formed_n"), [T, "seq"])
-    opens = opens.where("open > 0 OR floor > logical_offset OR logical_offset > record_end OR record_end > formed_n")
-    rp = t.where(F.col("event").isin("ReplayOpened", "ReplayRecord", "ReplayClosed"))
+    active = F.coalesce(F.sum(F.when(is_("ReplayOpened"), 1).when(is_("ReplayClosed"), -1).otherwise(0)).over(upto("reader")), F.lit(0))
+    opens = s.withColumn("active", active).where(is_("ReplayOpened")).where("active > 0 OR floor > logical_offset OR logical_offset > record_end OR record_end > formed_n")
+    rp = s.where(F.col("event").isin("ReplayOpened", "ReplayRecord", "ReplayClosed"))
     rp = rp.withColumn("session", F.count_if(is_("ReplayOpened")).over(_w("reader").rowsBetween(Window.unboundedPreceding, 0)))
     head = rp.where(is_("ReplayOpened")).select(T, "reader", "session", F.col("logical_offset").alias("start"), F.col("record_end").alias("stop"))
     body = rp.where(~is_("ReplayOpened")).join(head, [T, "reader", "session"], "left")
-    body = body.withColumn("read", F.coalesce(F.count_if(is_("ReplayRecord")).over(_w("reader", "session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wrong = body.where(is_("ReplayRecord")).where("start IS NULL OR logical_offset <> start + read OR logical_offset >= stop")
+    upto_session = _w("reader", "session").rowsBetween(Window.unboundedPreceding, -1)
+    body = body.withColumns({"read": F.coalesce(F.count_if(is_("ReplayRecord")).over(upto_session), F.lit(0)), "closed": F.coalesce(F.count_if(is_("ReplayClosed")).over(upto_session), F.lit(0)) > 0})
+    wrong = body.where(is_("ReplayRecord")).where("start IS NULL OR closed OR logical_offset <> start + read OR logical_offset >= stop OR formed IS NULL")
     seals = _as_of(t.where(F.col("event").isin("SegmentSealed", "SegmentDeleted")), "SegmentSealed", ["segment"], F.col("record_end"), "sealed_end").where(is_("SegmentDeleted"))
     return _all(
         _out(s.where(is_("RecordFormed") & (F.col("open") > 0)), m, "A14"),
         _out(s.where(is_("RecordFormed") & F.col("formed").isNotNull()), m, "A15"),
-        _out(s.where(is_("RecoverySelected") & (F.col("formed") != F.col("value"))), m, "A16"),
-        _out(commits.where("formed IS NULL OR formed <> value"), m, "A17"),
+        _out(s.where(is_("RecoverySelected") & (F.col("formed") != ident)), m, "A16"),
+        _out(commits.where(F.col("formed").isNull() | (F.col("formed") != ident)), m, "A17"),
         _out(fresh.where("logical_offset <> done"), m, "A18"),
         _out(s.where(is_("ProducerAcknowledged") & ((F.col("committed_before") == 0) | (F.col("acks") > 0))), m, "A19"),
         _out(s.where(is_("TruncationProposed") & ((F.col("open") > 0) | (F.col("truncation_floor") < F.col("floor")))), m, "A20"),
         _out(seals.where("sealed_end IS NULL OR sealed_end <> record_end OR record_end >= truncation_floor"), m, "A21"),
         _out(opens, m, "A22"),
         _out(wrong, m, "A23"),
-        _out(body.where(is_("ReplayClosed")).where("start IS NULL OR start + read <> stop"), m, "A24"),
+        _out(body.where(is_("ReplayClosed")).where("start IS NULL OR closed OR start + read <> stop"), m, "A24"),
     )
 
 
@@ -182,8 +193,11 @@ def directory_structure(trace: DataFrame) -> DataFrame:
     m = "DirectoryStructure"
     d = _of(trace, "DirectoryAdopted").withColumn("snap", F.count_if(F.col("directory_index") == 0).over(_w("writer").rowsBetween(Window.unboundedPreceding, 0)))
     w = _w("writer", "snap")
-    d = d.withColumns({"nth": F.row_number().over(w) - 1, "len0": F.first("directory_len").over(w), "prev": F.lag("segment").over(w), "again": F.row_number().over(_w("writer", "snap", "segment_id"))})
-    return _out(d.where("directory_index >= directory_len OR directory_index <> nth OR directory_len <> len0 OR segment >= tail_base OR segment <= prev OR again > 1 OR snap = 0"), m, "A26")
+    d = d.withColumns({"nth": F.row_number().over(w) - 1, "len0": F.first("directory_len").over(w), "prev": F.lag("segment").over(w), "again": F.row_number().over(_w("writer", "snap", "segment_id")), "before": F.lag(F.col("directory_len") - F.col("directory_index")).over(_w("writer"))})
+    entry = "directory_len <= 0 OR directory_index < 0 OR directory_index >= directory_len OR directory_index <> nth OR directory_len <> len0 OR segment >= tail_base OR segment <= prev OR again > 1 OR snap = 0"
+    cut = "directory_index = 0 AND before <> 1"  # a snapshot begins before the one before it has ended
+    last = "directory_index + 1 = directory_len AND tail_base > truncation_floor AND NOT (segment <=> seal_base AND segment_id <=> current_seal_id)"
+    return _out(d.where(f"({entry}) OR ({cut}) OR ({last})"), m, "A26")
 
 
 def directory_enforcement(trace: DataFrame) -> DataFrame:
@@ -208,7 +222,7 @@ def _all(*parts: DataFrame) -> DataFrame:
 def verdict(trace: DataFrame) -> DataFrame:
     """trace_id, accepted, monitor, seq: the first rejection of each trace."""
     # each monitor is planned and run by itself: one plan of them all is re-planned at every stage that ends
-    v = _all(*(m(trace).persist() for m in MONITORS.values()))
+    v = _all(*(m(trace) for m in MONITORS.values()))
     rank = F.coalesce(*[F.when(F.col("monitor") == n, i) for i, n in enumerate(NAMES)])
     first = v.groupBy(T).agg(F.min(F.struct("seq", rank.alias("rank"), "monitor")).alias("x"))
     return trace.select(T).distinct().join(first, T, "left").select(T, F.col("x").isNull().alias("accepted"), "x.monitor", "x.seq")

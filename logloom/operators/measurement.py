@@ -78,3 +78,36 @@ def fault_budget(spark, seeds: int, faults: int = 8) -> DataFrame:
     d = spark.range(seeds).withColumnRenamed("id", "seed").withColumn("fault", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(faults - 1).cast("long"))))
     step = F.when(F.substring(F.sha2(F.concat_ws("|", "seed", "fault").cast("binary"), 256), 1, 1) < "8", 1).otherwise(2).cast("long")
     return d.select("seed", "fault", F.sum(step).over(Window.partitionBy("seed").orderBy("fault").rowsBetween(Window.unboundedPreceding, 0)).alias("opportunity"))
+
+
+def receipt_matches(receipts: DataFrame, digest: str) -> DataFrame:
+    """Receipts of a passed production run of an hour or more, asked for and elapsed, over these sources."""
+    r = F.col("passed") & (F.col("requested_s") >= 3600) & (F.col("elapsed_ms") >= 3_600_000) & (F.col("digest") == digest) & (F.col("mode") == "production")
+    return receipts.select("seg", F.coalesce(r, F.lit(False)).alias("matches"))
+
+
+def operation_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("operation").agg(F.count("*").alias("calls"), F.count_if("faulted").alias("faults"))
+
+
+def recorded(metrics: DataFrame) -> DataFrame:
+    """What a benchmark's recorder keeps: counters and gauges by name, whatever their labels; nothing else."""
+    return rollup(metrics.where(F.col("kind").isin("counter", "gauge")).select("seq", "kind", "name", "value"))
+
+
+def recovery_report(marks: DataFrame, counter: DataFrame) -> DataFrame:
+    """Percentiles of each phase over iterations, from the marks at which phases begin, `marks(iteration, i, phase,
+    at_us)`, and of the whole; the mean growth of a counter, `counter(iteration, seq, value)`, over an iteration."""
+    w = Window.partitionBy("iteration").orderBy("i")
+    phases = marks.withColumn("us", F.lead("at_us").over(w) - F.col("at_us")).where("us IS NOT NULL").select("iteration", "phase", "us")
+    total = marks.groupBy("iteration").agg((F.max("at_us") - F.min("at_us")).alias("us")).select("iteration", F.lit("total").alias("phase"), "us")
+    grown = counter.groupBy("iteration").agg((F.max_by("value", "seq") - F.min_by("value", "seq")).alias("reads"))
+    both = phases.unionByName(total)
+    reads = both.join(grown, "iteration").groupBy("phase").agg(F.round(F.avg("reads"), 6).alias("reads"))
+    return latency_report(both, "phase").select("phase", "p50", "p99", "max").join(reads, "phase")
+
+
+def disk_report(appends: DataFrame) -> DataFrame:
+    """Appends to local disks, each with one logical fsync."""
+    sums = appends.groupBy("disk").agg(F.count("*").alias("appends"), F.count("*").alias("fsyncs"), F.sum("bytes").alias("bytes"))
+    return sums.join(latency_report(appends, "disk").select("disk", "p99"), "disk")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions import codec
 from logloom.operators import catalog as cat
 from logloom.operators import conformance, measurement, quorum, writepath
+from logloom.plans import lifecycle
 from logloom.plans.oracle import ORACLE  # noqa: F401
 from logloom.sources import traces
 from logloom.sources.simulated import PER_SEGMENT, QUORUM, ZONES, LogTables, segment_ends
@@ -34,7 +35,8 @@ def _resolved(t):
 
 
 def _tail(t) -> int:
-    return t.records().agg(F.max("record_index")).first()[0] + 1
+    last = t.records().agg(F.max("record_index")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def _sizes(t):
@@ -131,7 +133,7 @@ def canonical_prefix(t):
 
 @query
 def exact_finalized_group(t):
-    return quorum.exact_finalized_group(t.frames(), t.copies(), QUORUM)
+    return quorum.exact_finalized_group(t.frames(), t.copies(), QUORUM, t.segments().selectExpr("seg", "CASE WHEN seg % 2 = 0 THEN n END AS expected"))
 
 
 @query
@@ -141,7 +143,7 @@ def stat_quorum(t):
 
 @query
 def sealed_read_choice(t):
-    return quorum.sealed_read_choice(t.copies())
+    return quorum.sealed_read_choice(t.copies(), t.frames(), _sizes(t), ZONES)
 
 
 @query
@@ -164,26 +166,14 @@ def record_value(t):
     return t.records().select("record_index", codec.record_value(codec.frame(F.col("payload"))).alias("value"))
 
 
-def _registers(t):
-    """One register for each segment, with a fault in most (by seg % 12)."""
-    return t.segments().selectExpr(
-        "seg AS version", "seg % 5 AS epoch", "CAST(30 AS bigint) AS tail_base", "CASE WHEN seg % 12 = 1 THEN NULL WHEN seg % 12 = 5 THEN 'b' ELSE 't' END AS tail_id",
-        "CASE seg % 12 WHEN 6 THEN 'x,y' WHEN 7 THEN 't' WHEN 8 THEN 'a' WHEN 0 THEN NULL ELSE 'p' END AS pending_id",
-        "CASE WHEN seg % 12 IN (9, 11) THEN CAST(10 AS bigint) ELSE CAST(20 AS bigint) END AS seal_base", "CASE WHEN seg % 12 = 2 THEN NULL ELSE 'd' END AS seal_digest",
-        "CASE WHEN seg % 12 = 11 THEN CAST(31 AS bigint) ELSE CAST(0 AS bigint) END AS trunc", "CASE WHEN seg % 12 = 4 THEN array('a', 'a') ELSE array('a', 'b') END AS ids",
-        "CASE WHEN seg % 12 = 3 THEN array(20L, 20L) ELSE array(10L, 20L) END AS bases", "CASE WHEN seg % 12 = 10 THEN array('x', 'x', 'y') ELSE array('x', 'y', 'z') END AS buckets",
-    )
-
-
 @query
 def register_validate(t):
-    return cat.validate_registers(_registers(t))
+    return cat.validate_registers(t.spark.sql(lifecycle.REGISTERS.format(longs="ARRAY<BIGINT>", no_ids="CAST(array() AS ARRAY<STRING>)", no_bases="CAST(array() AS ARRAY<BIGINT>)", segments="{segments}"), segments=t.segments()))
 
 
 @query
 def register_fold(t):
-    ops = t.records().selectExpr("seg AS register", "ordinal AS version", "element_at(array('claim', 'fold', 'raise_trunc', 'fold'), CAST(ordinal % 4 AS int) + 1) AS op", "CASE WHEN ordinal % 4 = 2 THEN ordinal * 7 % 101 ELSE ordinal * 2 END AS arg")
-    return cat.fold_register(ops).select("register", "version", "epoch", "tail_base", "trunc", "segments")
+    return cat.fold_register(t.spark.sql(lifecycle.OPERATIONS, records=t.records()), room=8)
 
 
 @query
@@ -239,12 +229,12 @@ def maintenance_coalesce(t):
 
 @query
 def admission_check(t):
-    return writepath.admission(t.records().where("record_index % 97 <> 5"), 18, 2000)
+    return writepath.admission(t.spark.sql(lifecycle.ATTEMPTS, records=t.records()), 18, 1200)
 
 
 @query
 def in_order_completion(t):
-    return writepath.completion(t.records(), _resolved(t))
+    return writepath.completion(t.records(), _resolved(t), quorum.feasibility(_ends(t), t.lanes(), QUORUM), "seg div 10")
 
 
 @query
@@ -277,11 +267,10 @@ def object_fold(t):
 
 
 def _trace(t):
-    # every assertion reads it, and all group within a trace: it is dealt by trace once and kept, and joins and windows
-    # on a trace's keys take that dealing as it is
-    t.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # every assertion reads it, and all group within a trace: it is dealt by trace once and kept, for joins and windows
+    # on a trace's keys to take that dealing as it is where the session allows (requireAllClusterKeysForCoPartition)
     n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    return traces.synthetic(t.spark, t.records()).repartition(n, "trace_id").persist()
+    return traces.synthetic(t.spark, t.records()).repartition(n, "trace_id")
 
 
 @query
@@ -376,4 +365,6 @@ def generation_ordinal(t):
     return o.select("base", "id", (F.dense_rank().over(Window.partitionBy("base").orderBy("first")) - 1).cast("long").alias("gen"))
 
 
+lifecycle.register(query, ORACLE)
+
 assert PER_SEGMENT == 100

@@ -51,6 +51,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, [n if n.startswith("/") or ":" in n else f"{folder}/{n}" for n in names])
 
 
+def name_parity(listed: DataFrame, declared: list[str]) -> DataFrame:
+    """`listed(pos, name)` beside the declared names in their order; a place where they differ, or one lacks, is not same."""
+    d = listed.sparkSession.createDataFrame([*enumerate(declared)], "pos long, declared string")
+    j = listed.select("pos", F.col("name").alias("listed")).join(d, "pos", "full_outer")
+    return j.select("pos", "listed", "declared", F.col("listed").eqNullSafe(F.col("declared")).alias("same"))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """pos, name: the lines of a list of event names, blank ones skipped."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("pos", "name"))
+    return lines.select(F.col("pos").cast("long").alias("pos"), "name")
+
+
+def digests(spark: SparkSession, path, pattern: str = "*.jsonl") -> DataFrame:
+    """trace_id, digest: SHA-256 over the lines of each trace as they stand, one trace (a file) a row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.col("path").alias("trace_id"), F.sha2("content", 256).alias("digest"))
+
+
+def with_derived(trace: DataFrame) -> DataFrame:
+    """`record_count` of repaired copies: records from the segment's base to its end."""
+    return trace.withColumn("record_count", F.when(F.col("event") == "SealedCopyRepaired", F.col("record_end") - F.col("segment") + 1))
+
+
+def write(trace: DataFrame, path: str) -> None:
+    """One JSON-lines folder a trace, in the order of seq; nulls are left out."""
+    n = trace.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    trace.repartition(int(n), "trace_id").sortWithinPartitions("trace_id", "seq").write.partitionBy("trace_id").json(path)
+
+
 #: A trace for each segment, with one fault in nine of ten (by seg % 10). Runs in either engine; {records} is its input.
 FIXTURE = """
 WITH n AS (SELECT seg AS trace_id, count(*) AS n FROM {records} GROUP BY seg),
@@ -86,10 +116,103 @@ SELECT e.trace_id, row_number() OVER (PARTITION BY e.trace_id ORDER BY phase, e.
        0 AS gen, record_end, floor_ AS truncation_floor, 1 AS reader, reported_size, finalized,
        CASE WHEN event = 'DirectoryAdopted' THEN 0 END AS directory_index, CASE WHEN event = 'DirectoryAdopted' THEN 1 END AS directory_len,
        CASE WHEN event = 'DirectoryAdopted' THEN n.n WHEN event = 'ViewCommitted' THEN logical_offset END AS tail_base,
-       CASE WHEN event IN ('DirectoryAdopted', 'SealQuorumEnforced') THEN 100 END AS segment_id, CASE WHEN event = 'DirectoryAdopted' THEN -1 END AS current_seal_id
+       CASE WHEN event IN ('DirectoryAdopted', 'SealQuorumEnforced') THEN 100 END AS segment_id, CASE WHEN event = 'DirectoryAdopted' THEN -1 END AS current_seal_id,
+       CASE WHEN event = 'DirectoryAdopted' THEN -1 END AS seal_base
 FROM e JOIN n ON e.trace_id = n.trace_id
+UNION ALL SELECT trace_id, seq, event, writer, epoch, zone, logical_offset, value, segment, gen, record_end, truncation_floor, reader, reported_size, finalized, directory_index, directory_len, tail_base,
+       segment_id, current_seal_id, seal_base FROM ({faults}) f
 """
 
+_COLUMNS = "writer epoch zone logical_offset value segment gen record_end truncation_floor reader reported_size directory_index directory_len tail_base segment_id current_seal_id seal_base".split()
+
+
+def _step(event: str, *values, **more) -> tuple[str, dict]:
+    """An event with its required fields in their order; others are 1 for writer, epoch and reader, 0 for gen."""
+    own = dict(zip(REQUIRED[event].split(), values, strict=True))
+    return event, {"writer": 1, "epoch": 1, "gen": 0, "reader": 1} | own | more
+
+
+def _record(o: int, v: int = 7, s: int = 0, w: int = 1):
+    """Formed, durable in two zones, committed."""
+    return [_step("RecordFormed", w, o, v, s), _step("RecordPersisted", 0, w, o, v, s), _step("RecordPersisted", 1, w, o, v, s), _step("RecordCommitted", w, o, v, s)]
+
+
+def _sealed(end: int, s: int = 0, formed: bool = True):
+    """A decision, its finalized quorum and its seal, for a segment of records up to `end`."""
+    return [
+        *[_step("RecordFormed", 1, o, 7, s) for o in range(s, end + 1) if formed], _step("EpochClaimed", 1, 1), _step("ViewCommitted", 1, end + 1, s, end + 1, 3),
+        _step("SegmentFinalized", 0, s, end), _step("SegmentFinalized", 1, s, end), _step("SegmentSealed", s, end),
+    ]
+
+
+def _adopted(index: int, size: int, base: int, ident: int, seal: int, seal_base: int, tail: int = 50, floor: int = 0):
+    return _step("DirectoryAdopted", 1, base, ident, index, size, base + 4, tail, floor, current_seal_id=seal, seal_base=seal_base)
+
+
+#: Short traces, most of which break one rule of the monitors; their ids are -1, -2, and so on.
+FAULTS = [
+    [*_record(0), _step("RecoverySelected", 2, 0, 99, 0)],
+    [*_record(0), *_record(1), _step("RecoverySelected", 2, 0, 7, 0), _step("CanonicalPersisted", 0, 2, 0, 7, 0), _step("CanonicalPersisted", 1, 2, 0, 7, 0), _step("RecoveryCompleted", 2, 0, 0, 1)],
+    [*_record(0), _step("RecoverySelected", 2, 0, 7, 0), _step("CanonicalPersisted", 0, 2, 0, 7, 0), _step("RecoveryCompleted", 2, 0, 0, 1)],
+    [*_record(0), _step("CanonicalPersisted", 0, 2, 0, 7, 0), _step("CanonicalPersisted", 1, 2, 0, 7, 0), _step("RecoveryCompleted", 2, 0, 0, 1)],
+    [*_record(0), _step("RecoverySelected", 2, 0, 7, 0), _step("CanonicalPersisted", 0, 2, 0, 7, 0), _step("CanonicalPersisted", 1, 2, 0, 7, 0), _step("RecoveryCompleted", 2, 0, 0, 1)],
+    [_step("SegmentCreated", 0, 1, 1, 0), _step("SegmentCreated", 1, 1, 1, 0), _step("SegmentCreated", 1, 2, 2, 0), _step("SegmentCreated", 2, 2, 2, 0)],
+    [_step("SegmentCreated", 0, 1, 1, 0), _step("SegmentCreated", 1, 1, 1, 0), _step("SegmentCreated", 1, 2, 2, 0, gen=1), _step("SegmentCreated", 2, 2, 2, 0, gen=1), _step("SegmentOpened", 0, 1, 1)],
+    [*_sealed(1), _step("SealedCopyRepaired", 2, 0, 1), _step("SealedCopyRepaired", 2, 0, 2)],
+    [*_sealed(1), _step("SealedCopyRepaired", 2, 5, 6)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("RecordFormed", 1, 0, 7, 0)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("RecoverySelected", 2, 0, 7, 0), _step("RecoverySelected", 2, 0, 7, 3)],
+    [_step("ReplayOpened", 1, 0, 0), _step("TruncationProposed", 0), _step("ReplayClosed", 1)],
+    [_step("ReplayOpened", 1, 0, 0), _step("RecordFormed", 1, 0, 7, 0)],
+    [*_sealed(1), _step("FloorCommitted", 2), _step("SegmentDeleted", 0, 0, 1, 2), _step("TruncationProposed", 1)],
+    [_step("FloorCommitted", 9), _step("SegmentDeleted", 0, 0, 1, 2)],
+    [*_sealed(1), _step("FloorCommitted", 9), _step("SegmentDeleted", 0, 0, 1, 1)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 0, 5)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 0, 1), _step("ReplayOpened", 2, 0, 1), _step("ReplayOpened", 1, 0, 1)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 1, 0)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("RecordFormed", 1, 1, 7, 0), _step("ReplayOpened", 1, 0, 2), _step("ReplayRecord", 1, 1)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 0, 1), _step("ReplayRecord", 1, 0), _step("ReplayRecord", 1, 1)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 0, 1), _step("ReplayRecord", 1, 0), _step("ReplayClosed", 1), _step("ReplayRecord", 1, 1)],
+    [_step("RecordFormed", 1, 3, 7, 0), _step("ReplayOpened", 1, 0, 1), _step("ReplayRecord", 1, 0)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 0, 1), _step("ReplayClosed", 1)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("ReplayOpened", 1, 0, 1), _step("ReplayRecord", 1, 0), _step("ReplayClosed", 1), _step("ReplayClosed", 1)],
+    [_step("ReplayClosed", 4)],
+    [_step("ReplayRecord", 4, 0)],
+    [_step("EpochClaimed", 1, 1), _step("EpochClaimed", 2, 2), _step("EpochClaimed", 1, 2)],
+    [_step("ViewCommitted", 4, 5, 0, 5, 3), _step("EpochClaimed", 4, 1)],
+    [_step("EpochClaimed", 1, 1), _step("ViewCommitted", 1, 5, 0, 5, 3), _step("ViewCommitted", 1, 4, 2, 4, 3)],
+    [_step("EpochClaimed", 1, 1), _step("ViewCommitted", 1, 5, 0, 6, 3)],
+    [_step("EpochClaimed", 1, 1), _step("ViewCommitted", 1, 5, 0, 5, 3), _step("ViewCommitted", 1, 5, 0, 5, 4)],
+    [_step("EpochClaimed", 1, 1), _step("ViewCommitted", 1, 5, 0, 5, 3), _step("ViewCommitted", 1, 5, 0, 5, 3), _step("ViewCommitted", 1, 9, 5, 9, 3)],
+    [_step("FloorCommitted", 5), _step("FloorCommitted", 3)],
+    [*_sealed(1), _step("SegmentDeleted", 0, 0, 1, 7)],
+    [_step("SegmentFinalized", 0, 0, -1), _step("SegmentFinalized", 1, 0, -1), _step("SegmentSealed", 0, -1)],
+    [*_sealed(1, formed=False)],
+    [_adopted(0, 2, 0, 100, 101, 5), _adopted(1, 2, 5, 101, 101, 5)],
+    [_adopted(0, 0, 0, 100, 100, 0)],
+    [_adopted(2, 2, 0, 100, 100, 0)],
+    [_adopted(0, 3, 0, 100, 102, 9), _adopted(2, 3, 9, 102, 102, 9)],
+    [_adopted(0, 2, 0, 100, 101, 5), _adopted(1, 3, 5, 101, 101, 5)],
+    [_adopted(0, 2, 0, 100, 101, 5), _adopted(0, 1, 0, 100, 100, 0)],
+    [_adopted(0, 1, 60, 100, 100, 60)],
+    [_adopted(0, 2, 0, 100, 100, 5), _adopted(1, 2, 5, 100, 100, 5)],
+    [_adopted(0, 2, 5, 100, 101, 3), _adopted(1, 2, 3, 101, 101, 3)],
+    [_adopted(0, 2, 0, 100, 101, 6), _adopted(1, 2, 5, 101, 101, 6)],
+    [_adopted(0, 1, 0, 100, 101, 6, floor=60)],
+]
+
+
+def _fault_rows() -> str:
+    rows = []
+    for i, steps in enumerate(FAULTS):
+        for seq, (event, own) in enumerate(steps):
+            cells = [f"CAST({own[c]} AS BIGINT)" if c in own else "CAST(NULL AS BIGINT)" for c in _COLUMNS]
+            rows.append(f"(CAST({-1 - i} AS BIGINT), CAST({seq} AS BIGINT), '{event}', {', '.join(cells)}, CAST(NULL AS BOOLEAN))")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(trace_id, seq, event, {', '.join(_COLUMNS)}, finalized)"
+
+
+FAULT_ROWS = _fault_rows()
+
 
 def synthetic(spark: SparkSession, records: DataFrame) -> DataFrame:
-    return spark.sql(FIXTURE, records=records)
+    return spark.sql(FIXTURE.format(records="{records}", faults=FAULT_ROWS), records=records)
