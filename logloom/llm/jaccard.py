@@ -52,11 +52,6 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * both >= 4 * (len(a) + len(b))  # both / (|a| + |b| - both) >= 4 / 5
-
-
 def frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles found more than once in a sample of documents, and their counts."""
     rate = min(1.0, sample / max(docs.count(), 1))
@@ -163,27 +158,24 @@ def shared_shingles(table: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Those of `pairs(a, b)` of set ids that are similar by their whole sets."""
+    """Those of `pairs(a, b)` of set ids that are similar by their whole sets. Sets meet row by row in the JVM: no task
+    holds more of them than a sort does, and that spills."""
     ids = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-ids")
     # one text of each set; by id and digest, which any text with the same set will do for
     one = C.materialize(table.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("o")).select("sid", "o.doc_id", F.col("o.digest").alias("d")), "near-one")
     own = docs.select(F.col("doc_id").alias("i"), "text").join(one, F.col("i").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("d")), "inner")
-    schema, linked = C.arrow_schema("sid long, h binary"), C.arrow_schema("a long, b long")
+    schema = C.arrow_schema("sid long, h array<long>")
 
     def whole(it):
         for b in C.batches_of(it):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], schema=schema)
 
-    sets = C.materialize(own.select("sid", "text").mapInArrow(whole, "sid long, h binary").dropDuplicates(["sid"]), "near-sets")
+    sets = C.materialize(own.select("sid", "text").mapInArrow(whole, "sid long, h array<long>").dropDuplicates(["sid"]), "near-sets")
     x, y = sets.select(F.col("sid").alias("a"), F.col("h").alias("x")), sets.select(F.col("sid").alias("b"), F.col("h").alias("y"))
 
-    def run(it):
-        for b in C.batches_of(it):
-            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], schema=linked)
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    similar = 9 * both >= 4 * (F.size("x") + F.size("y"))  # both / (|x| + |y| - both) >= 4 / 5
+    return pairs.join(x, "a").join(y, "b").where(similar).select("a", "b")
 
 
 def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame | None:
