@@ -158,6 +158,7 @@ FAULTS = [
     [*_record(0), _step("RecoverySelected", 2, 0, 7, 0), _step("CanonicalPersisted", 0, 2, 0, 7, 0), _step("CanonicalPersisted", 1, 2, 0, 7, 0), _step("RecoveryCompleted", 2, 0, 0, 1)],
     [_step("SegmentCreated", 0, 1, 1, 0), _step("SegmentCreated", 1, 1, 1, 0), _step("SegmentCreated", 1, 2, 2, 0), _step("SegmentCreated", 2, 2, 2, 0)],
     [_step("SegmentCreated", 0, 1, 1, 0), _step("SegmentCreated", 1, 1, 1, 0), _step("SegmentCreated", 1, 2, 2, 0, gen=1), _step("SegmentCreated", 2, 2, 2, 0, gen=1), _step("SegmentOpened", 0, 1, 1)],
+    [_step("RecordFormed", 1, 0, 7, 0), _step("RecordPersisted", 0, 1, 0, 7, 0), _step("RecordPersisted", 1, 2, 0, 7, 0)],
     [*_sealed(1), _step("SealedCopyRepaired", 2, 0, 1), _step("SealedCopyRepaired", 2, 0, 2)],
     [*_sealed(1), _step("SealedCopyRepaired", 2, 5, 6)],
     [_step("RecordFormed", 1, 0, 7, 0), _step("RecordFormed", 1, 0, 7, 0)],

@@ -22,7 +22,11 @@ def lane_state(progress_stream: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="logloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
+        root = "file://" + tempfile.mkdtemp(prefix="logloom-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
