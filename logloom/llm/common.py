@@ -72,7 +72,23 @@ def store(df: DataFrame, tag: str, codec: str = "zstd") -> str:
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, and the rows are computed once."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df, tag, codec))
+    path = store(df, tag, codec)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def mark() -> int:
+    """Where `sweep` begins: behind the tables written so far."""
+    return len(_written)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Remove the tables written since `mark`, but for those of `keep` (results of `materialize`)."""
+    stay = {getattr(df, "_scratch", None) for df in keep}
+    for spark, path in _written[since:]:
+        if path not in stay:
+            drop(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -211,7 +227,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     component, the same for all its nodes. No node's neighbours are ever gathered: minima are pre-aggregated, and
     the joins take plain tables on both sides, so that skewed partitions can be split.
     """
-    spark = edges.sparkSession
+    spark, begin = edges.sparkSession, mark()
     code = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("n"))
     cur = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-edges")
     maps = []
@@ -231,8 +247,11 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         cur = materialize(nxt, f"{tag}-edges")
     if not maps:
         return spark.createDataFrame([], "node long, label long")
-    out = maps[-1].select(F.col("u").alias("node"), F.col("p").alias("label"))
+    last = maps[-1]
+    out = last.select(F.col("u").alias("node"), F.col("p").alias("label"))
     for m in reversed(maps[:-1]):  # nodes gone by then keep what they pointed to
         later = out.select(F.col("node").alias("p"), "label")
-        out = materialize(m.join(later, "p", "left").select(F.col("u").alias("node"), F.coalesce("label", "p").alias("label")), f"{tag}-label")
+        last = out = materialize(m.join(later, "p", "left").select(F.col("u").alias("node"), F.coalesce("label", "p").alias("label")), f"{tag}-label")
+    sweep(begin, last)
+    out._scratch = last._scratch
     return out

@@ -9,7 +9,9 @@ sets before they are linked, so that the components are those of brute force.
 
 A shingle shared by many texts would give the square of their number in pairs. Where that is so, its texts are
 compared with one of them first, and pairs of texts that are linked by then are left out; ROUNDS times at most, or until
-the pairs that are left are no more than DENSE for each document, after which all of them are compared.
+the pairs that are left are no more than DENSE for each document, after which all of them are compared. Such pairs are
+first held against bitmaps of the sets' hashes: a bit that only one set has stands for a shingle that the other lacks,
+so a pair with too many of these cannot be similar. No similar pair is left out by it.
 
 Cases: a text with fewer than WORDS words is one shingle, one without words too, so these are linked; null counts as
 empty; equal sets are one set (told apart by 64 bits); very long texts are compared whole; of rows with one id and text
@@ -32,7 +34,9 @@ SAMPLE, FREQUENT = 8000, 1 << 17
 #: Pairs for each row of a shared shingle from which on its texts are compared with one of them first, and how often.
 DENSE, ROUNDS = 16, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PREFIX = "doc_id long, digest long, sid long, n int, first binary, fp long"
+#: 64-bit words of a set's bitmap.
+BITMAP = 16
+_PREFIX = "doc_id long, digest long, sid long, n int, first binary, fp long, bits array<long>"
 #: Set ids that a task remembers, so that copies of one set leave it once (all are forgotten beyond it).
 SEEN = 400_000
 
@@ -52,6 +56,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """One bit for each of the hashes, at its lowest bits' place among 64 * BITMAP."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(h % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles found more than once in a sample of documents, and their counts."""
     rate = min(1.0, sample / max(docs.count(), 1))
@@ -78,7 +89,7 @@ def frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.n
 
 def prefixes(docs: DataFrame, words: int, sample: int) -> DataFrame:
     """doc_id, digest (of the text), sid (of the set), n (its size), first (32 bits of each shingle of the prefix),
-    fp (SimHash fingerprint of the set)."""
+    fp (SimHash fingerprint of the set), bits (its bitmap)."""
     schema = C.arrow_schema(_PREFIX)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, sample))
 
@@ -87,18 +98,19 @@ def prefixes(docs: DataFrame, words: int, sample: int) -> DataFrame:
 
         known, counts = shared.value
         for b in C.batches_of(it):
-            sid, n, first, fp = [], [], [], []
+            sid, n, first, fp, bits = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t, words)
                 sid.append(xxh3_64_intdigest(h.tobytes()))
                 n.append(len(h))
                 fp.append(of_hashes(h))
+                bits.append(bitmap(h))
                 take = len(h) - -(-4 * len(h) // 5) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                 first.append((h[:take] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
 
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, _PREFIX)
 
@@ -180,14 +192,18 @@ def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int) ->
 
 def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame | None:
     """Components (node, label) of the set ids that are linked; None without any link."""
+    begin = C.mark()
     tested = C.materialize(candidates(table.select("sid", "fp").distinct(), threshold), "near-first")
     edges = C.materialize(verified(tested, table, docs, words), "near-found")
+    C.sweep(begin, tested, edges)
     comp = None if edges.isEmpty() else C.components(edges, "near")
     cur = C.materialize(_labelled(shared_shingles(table), comp), "near-shared")
     most = DENSE * table.count()
     early = 9 * F.col("at") <= F.col("n")
     fits = lambda p, q: 9 * F.least(F.col(f"{p}.n") - F.col(f"{p}.at"), F.col(f"{q}.n") - F.col(f"{q}.at")) >= 4 * (F.col(f"{p}.n") + F.col(f"{q}.n"))
+    sketch = None
     for i in range(ROUNDS):
+        begin, before = C.mark(), cur
         per = cur.groupBy("token", "label").agg(F.count("*").alias("k"), F.count_if(early).alias("e"))
         size = per.groupBy("token").agg(F.sum("k").alias("s"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("e").alias("e"))
         size = size.where("pairs > 0").select("token", "s", F.least("pairs", F.col("e") * F.col("s")).alias("pairs"))
@@ -197,26 +213,41 @@ def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int
         cur = C.materialize(cur.join(size.select("token", "dense"), "token"), "near-open")
         if cur.isEmpty():
             break
-        plain = cur if last else cur.where("not dense")
-        one, two = plain.where(early).alias("p"), plain.alias("q")
-        pairs = one.join(two, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & fits("p", "q")).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y"))
-        if not last:
-            rank = F.struct((~early).alias("late"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid", "n", "at", "label")
-            hub = C.materialize(cur.where("dense").groupBy("token").agg(F.min(rank).alias("h")).select("token", "h.sid", "h.n", "h.at", "h.label"), "near-hub").alias("p")
-            rest = cur.where("dense").alias("q")
-            pairs = pairs.unionByName(hub.join(rest, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & fits("p", "q")).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y")))
+        on = (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & fits("p", "q")
+        both = F.col("p.sid").alias("x"), F.col("q.sid").alias("y")
+        light = cur.where("not dense")
+        pairs = light.where(early).alias("p").join(light.alias("q"), on).select(*both)
+        if left is not None:
+            sketch = sketch or C.materialize(table.groupBy("sid").agg(F.first("bits").alias("bits")), "near-bits")
+            heavy = C.materialize(cur.where("dense").drop("dense").join(sketch, "sid"), "near-dense")
+            first = heavy.where(early)
+            if not last:
+                rank = F.struct((~early).alias("late"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid", "n", "at", "label")
+                hub = cur.where("dense").groupBy("token").agg(F.min(rank).alias("h")).select("token", "h.sid", "h.n", "h.at", "h.label")
+                first = C.materialize(hub.join(sketch, "sid"), "near-hub")
+            pairs = pairs.unionByName(first.alias("p").join(heavy.alias("q"), on & _can_be("p", "q")).select(*both))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = C.materialize(pairs, "near-pairs")
         found = C.materialize(verified(pairs, table, docs, words), "near-found")
         tested, edges = tested.unionByName(pairs), edges.unionByName(found)
+        if last:
+            C.sweep(begin, found)
+            return comp if found.isEmpty() else C.components(edges, "near")
         if not found.isEmpty():
             comp = C.components(edges, "near")
-        if last:
-            break
         cur = C.materialize(_labelled(cur.where("dense").select("token", "sid", "n", "at"), comp), "near-next")
+        C.sweep(begin, pairs, found, cur, sketch, *([] if comp is None else [comp]))
+        C.drop(before.sparkSession, before._scratch)
     return comp
 
 
+def _can_be(p: str, q: str):
+    """Whether two sets can be similar by their bitmaps: what one has and the other lacks is at least so many."""
+    only = lambda x, y: sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.bits")[i]))) for i in range(BITMAP))
+    enough = 4 * (F.col(f"{p}.n") + F.col(f"{q}.n"))
+    return (9 * (F.col(f"{p}.n") - only(p, q)) >= enough) & (9 * (F.col(f"{q}.n") - only(q, p)) >= enough)
+
+
 def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return rows.withColumn("label", F.col("sid"))
