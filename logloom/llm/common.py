@@ -64,9 +64,18 @@ def drop(spark: SparkSession, path: str) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+#: Shuffle files of a table go once it is written; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, tag: str, codec: str = "zstd") -> str:
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, tag)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return path
 
 
@@ -91,6 +100,22 @@ def sweep(since: int, *keep: DataFrame) -> None:
             drop(spark, path)
 
 
+#: The most rows of 4 KiB of a `sieve`'s bitmap.
+SIEVE = 1024
+
+
+def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` is in the table `keys(key)`, and a few others: by a bitmap of 16 bits for each of its rows
+    (4 MiB at most, so with very many of them more others stay). It is broadcast, and `rows` are not moved."""
+    at, slot, bits = free(rows, "_at", "_slot", "_bits")
+    n = 32768 * min(-(-16 * keys.count() // 32768) or 1, SIEVE)
+    position = (F.pmod(F.xxhash64(key), F.lit(n)) + 1).alias(at)
+    bits_of = keys.select(position).groupBy(F.bitmap_bucket_number(at).alias(slot)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    bit = F.expr(f"getbit(cast(conv(hex(substring({bits}, cast(bitmap_bit_position({at}) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position({at}) % 8 as int))")
+    own = rows.withColumn(at, position).join(F.broadcast(materialize(bits_of, "sieve")), F.bitmap_bucket_number(at) == F.col(slot))
+    return own.where(bit == 1).select(*rows.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,9 +9,11 @@ sets before they are linked, so that the components are those of brute force.
 
 A shingle shared by many texts would give the square of their number in pairs. Where that is so, its texts are
 compared with one of them first, and pairs of texts that are linked by then are left out; ROUNDS times at most, or until
-the pairs that are left are no more than DENSE for each document, after which all of them are compared. Such pairs are
-first held against bitmaps of the sets' hashes: a bit that only one set has stands for a shingle that the other lacks,
-so a pair with too many of these cannot be similar. No similar pair is left out by it.
+the pairs that are left are no more than DENSE for each document, after which all of them are compared.
+
+Pairs are first held against bitmaps of the sets' hashes: a bit that only one set has stands for a shingle that the
+other lacks, so a pair with too many of these cannot be similar. No similar pair is left out by it, and texts and whole
+sets are moved only for what is left.
 
 Cases: a text with fewer than WORDS words is one shingle, one without words too, so these are linked; null counts as
 empty; equal sets are one set (told apart by 64 bits); very long texts are compared whole; of rows with one id and text
@@ -36,7 +38,7 @@ DENSE, ROUNDS = 16, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: 64-bit words of a set's bitmap.
 BITMAP = 16
-_PREFIX = "doc_id long, digest long, sid long, n int, first binary, fp long, bits array<long>"
+_PREFIX = "doc_id long, digest long, sid long, n int, first binary, fp long, bits array<long>, wide array<long>"
 #: Set ids that a task remembers, so that copies of one set leave it once (all are forgotten beyond it).
 SEEN = 400_000
 
@@ -56,13 +58,19 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """One bit for each of the hashes, at its lowest bits' place among 64 * BITMAP."""
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[(h % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+def bitmap(h: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """One bit for each of the hashes, at its lowest bits' place among 64 * words."""
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(h % np.uint64(64 * words)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def wide_bitmap(h: np.ndarray) -> np.ndarray | None:
+    """A bitmap of two to four bits for each hash, for sets that fill more than half of the other; its halves laid over
+    each other are the bitmap of half the width."""
+    return None if 2 * len(h) <= 64 * BITMAP else bitmap(h, 1 << (2 * len(h) - 1).bit_length() - 6)
+
+
 def frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles found more than once in a sample of documents, and their counts."""
     rate = min(1.0, sample / max(docs.count(), 1))
@@ -89,7 +97,7 @@ def frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.n
 
 def prefixes(docs: DataFrame, words: int, sample: int) -> DataFrame:
     """doc_id, digest (of the text), sid (of the set), n (its size), first (32 bits of each shingle of the prefix),
-    fp (SimHash fingerprint of the set), bits (its bitmap)."""
+    fp (SimHash fingerprint of the set), bits (its bitmap), wide (a wider one of a large set, else null)."""
     schema = C.arrow_schema(_PREFIX)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, sample))
 
@@ -98,19 +106,20 @@ def prefixes(docs: DataFrame, words: int, sample: int) -> DataFrame:
 
         known, counts = shared.value
         for b in C.batches_of(it):
-            sid, n, first, fp, bits = [], [], [], [], []
+            sid, n, first, fp, bits, wide = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t, words)
                 sid.append(xxh3_64_intdigest(h.tobytes()))
                 n.append(len(h))
                 fp.append(of_hashes(h))
                 bits.append(bitmap(h))
+                wide.append(wide_bitmap(h))
                 take = len(h) - -(-4 * len(h) // 5) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                 first.append((h[:take] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], schema=schema)
 
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, _PREFIX)
 
@@ -175,7 +184,9 @@ def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int) ->
     ids = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-ids")
     # one text of each set; by id and digest, which any text with the same set will do for
     one = C.materialize(table.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("o")).select("sid", "o.doc_id", F.col("o.digest").alias("d")), "near-one")
-    own = docs.select(F.col("doc_id").alias("i"), "text").join(one, F.col("i").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("d")), "inner")
+    texts = docs.select(F.col("doc_id").alias("i"), "text", F.xxhash64("text").alias("t")).withColumn("key", F.xxhash64("i", "t"))
+    few = C.sieve(texts, "key", one.select(F.xxhash64("doc_id", "d").alias("key")))  # most texts are not moved
+    own = few.join(one, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("d")), "inner")
     schema = C.arrow_schema("sid long, h array<long>")
 
     def whole(it):
@@ -192,8 +203,9 @@ def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int) ->
 
 def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame | None:
     """Components (node, label) of the set ids that are linked; None without any link."""
+    sketch = C.materialize(table.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bits", "wide"))), "near-bits")
     begin = C.mark()
-    tested = C.materialize(candidates(table.select("sid", "fp").distinct(), threshold), "near-first")
+    tested = C.materialize(_possible(candidates(table.select("sid", "fp").distinct(), threshold), sketch), "near-first")
     edges = C.materialize(verified(tested, table, docs, words), "near-found")
     C.sweep(begin, tested, edges)
     comp = None if edges.isEmpty() else C.components(edges, "near")
@@ -201,7 +213,7 @@ def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int
     most = DENSE * table.count()
     early = 9 * F.col("at") <= F.col("n")
     fits = lambda p, q: 9 * F.least(F.col(f"{p}.n") - F.col(f"{p}.at"), F.col(f"{q}.n") - F.col(f"{q}.at")) >= 4 * (F.col(f"{p}.n") + F.col(f"{q}.n"))
-    sketch = None
+    bits, before_left = sketch.select("sid", "bits"), None
     for i in range(ROUNDS):
         begin, before = C.mark(), cur
         per = cur.groupBy("token", "label").agg(F.count("*").alias("k"), F.count_if(early).alias("e"))
@@ -209,25 +221,25 @@ def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int
         size = size.where("pairs > 0").select("token", "s", F.least("pairs", F.col("e") * F.col("s")).alias("pairs"))
         size = C.materialize(size.withColumn("dense", F.col("pairs") > DENSE * F.col("s")), "near-size")
         left = size.where("dense").agg(F.sum("pairs")).first()[0]
-        last = left is None or left <= most or i == ROUNDS - 1
+        # a round that has left nearly all pairs would not be followed by better ones
+        last = left is None or left <= most or i == ROUNDS - 1 or before_left is not None and 10 * left > 9 * before_left
+        before_left = left
         cur = C.materialize(cur.join(size.select("token", "dense"), "token"), "near-open")
         if cur.isEmpty():
             break
         on = (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & fits("p", "q")
-        both = F.col("p.sid").alias("x"), F.col("q.sid").alias("y")
+        both = F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")
         light = cur.where("not dense")
-        pairs = light.where(early).alias("p").join(light.alias("q"), on).select(*both)
+        pairs = _possible(light.where(early).alias("p").join(light.alias("q"), on).select(*both).distinct(), sketch)
         if left is not None:
-            sketch = sketch or C.materialize(table.groupBy("sid").agg(F.first("bits").alias("bits")), "near-bits")
-            heavy = C.materialize(cur.where("dense").drop("dense").join(sketch, "sid"), "near-dense")
+            heavy = C.materialize(cur.where("dense").drop("dense").join(bits, "sid"), "near-dense")
             first = heavy.where(early)
             if not last:
                 rank = F.struct((~early).alias("late"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid", "n", "at", "label")
                 hub = cur.where("dense").groupBy("token").agg(F.min(rank).alias("h")).select("token", "h.sid", "h.n", "h.at", "h.label")
-                first = C.materialize(hub.join(sketch, "sid"), "near-hub")
-            pairs = pairs.unionByName(first.alias("p").join(heavy.alias("q"), on & _can_be("p", "q")).select(*both))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = C.materialize(pairs, "near-pairs")
+                first = C.materialize(hub.join(bits, "sid"), "near-hub")
+            pairs = pairs.unionByName(_possible(first.alias("p").join(heavy.alias("q"), on & _can_be("p", "q")).select(*both).distinct(), sketch, False))
+        pairs = C.materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found = C.materialize(verified(pairs, table, docs, words), "near-found")
         tested, edges = tested.unionByName(pairs), edges.unionByName(found)
         if last:
@@ -236,16 +248,36 @@ def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int
         if not found.isEmpty():
             comp = C.components(edges, "near")
         cur = C.materialize(_labelled(cur.where("dense").select("token", "sid", "n", "at"), comp), "near-next")
-        C.sweep(begin, pairs, found, cur, sketch, *([] if comp is None else [comp]))
+        C.sweep(begin, pairs, found, cur, *([] if comp is None else [comp]))
         C.drop(before.sparkSession, before._scratch)
     return comp
 
 
+def _possible(pairs: DataFrame, sketch: DataFrame, narrow: bool = True) -> DataFrame:
+    """Those of `pairs(a, b)` that can be similar by their bitmaps; `narrow`: by the narrow ones too."""
+    own = pairs.alias("o").join(sketch.alias("p"), F.col("o.a") == F.col("p.sid")).join(sketch.alias("q"), F.col("o.b") == F.col("q.sid"))
+    x, y = _folded("p.wide", "q.wide"), _folded("q.wide", "p.wide")
+    only = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, k: s + k)
+    wide = F.col("p.wide").isNull() | F.col("q.wide").isNull() | _enough("p", "q", only(x, y), only(y, x))
+    return (own.where(_can_be("p", "q")) if narrow else own).where(wide).select("a", "b")
+
+
+def _folded(x: str, y: str):
+    """The bitmap `x` at half its width if `y` is narrower. Similar sets have widths that differ by a factor of two at most."""
+    n = F.size(y)
+    return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda a, b: a.bitwiseOR(b))).otherwise(F.col(x))
+
+
 def _can_be(p: str, q: str):
-    """Whether two sets can be similar by their bitmaps: what one has and the other lacks is at least so many."""
+    """Whether two sets can be similar by their bitmaps."""
     only = lambda x, y: sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.bits")[i]))) for i in range(BITMAP))
+    return _enough(p, q, only(p, q), only(q, p))
+
+
+def _enough(p: str, q: str, only_p, only_q):
+    """What one set has and the other lacks is at least so many: whether that leaves enough in common."""
     enough = 4 * (F.col(f"{p}.n") + F.col(f"{q}.n"))
-    return (9 * (F.col(f"{p}.n") - only(p, q)) >= enough) & (9 * (F.col(f"{q}.n") - only(q, p)) >= enough)
+    return (9 * (F.col(f"{p}.n") - only_p) >= enough) & (9 * (F.col(f"{q}.n") - only_q) >= enough)
 
 
 def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:

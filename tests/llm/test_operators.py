@@ -286,6 +286,58 @@ def test_near_copies_with_shared_and_null_ids(spark):
     assert [r for r in got if r[0] is None] in ([(None, c)], [(None, c + " end")])
 
 
+def test_bitmaps_leave_no_similar_pair_out(spark):
+    """Sizes on both sides of a doubling of the wide bitmap and of where it begins; a null in place of it on one side."""
+    rng = np.random.default_rng(6)
+    sets, pairs = [], []
+    for n in (3, 60, 511, 512, 513, 520, 1020, 1024, 1030, 2040, 2050, 5000):
+        for gone, new in ((0, 0), (n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 9 + 2, n // 9 + 2), (n // 2, n // 2), (n, n)):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [x, y]
+    rows = [(i, len(h), jaccard.bitmap(h).tolist(), None if (w := jaccard.wide_bitmap(h)) is None else w.tolist()) for i, h in enumerate(sets)]
+    sketch = spark.createDataFrame(rows, "sid long, n int, bits array<long>, wide array<long>")
+    got = {tuple(r) for r in jaccard._possible(spark.createDataFrame(pairs, "a long, b long"), sketch).collect()}
+    share = {(a, b): len(np.intersect1d(sets[a], sets[b])) / max(len(np.union1d(sets[a], sets[b])), 1) for a, b in pairs}
+    assert {p for p, j in share.items() if j >= 0.8} <= got
+    assert not {p for p, j in share.items() if j < 0.4 and len(sets[p[0]]) > 3} & got
+
+
+@pytest.mark.parametrize("own, shared", [(300, 100), (1500, 500)])
+def test_texts_with_a_common_passage_are_not_verified(spark, monkeypatch, own, shared):
+    """Whole sets are moved for what the bitmaps leave only, also where a shingle is not frequent and texts are long."""
+    asked, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    passage = " ".join(f"p{i}" for i in range(shared))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(own)) + " " + passage) for i in range(12)]
+    rows.append((12, rows[3][1] + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(df, sample=0).collect()) == [*range(12)]
+    assert sum(asked) == 1
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    names = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")))
+    before, df = names(), spark.range(5000).repartition(7, "id").groupBy(F.col("id") % 10).count()
+    common.materialize(df, "test")
+    for _ in range(50):
+        if not (left := names() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_sieve_keeps_what_is_asked_for(spark, monkeypatch):
+    rows = spark.range(100_000).select(F.when(F.col("id") > 0, F.col("id") * 3).alias("key"), F.lit("x").alias("_at"))
+    keys = spark.range(2000).select((F.col("id") * 150).alias("key"))
+    for most, few in ((common.SIEVE, 12_000), (0, 100_000)):
+        monkeypatch.setattr(common, "SIEVE", most or 1)
+        got = [r.key for r in common.sieve(rows, "key", keys.where("key > 0") if most else keys.union(rows.select("key"))).collect()]
+        assert len(got) <= few and {r * 150 for r in range(1, 2000)} <= set(got)
+    assert common.sieve(rows, "key", keys.limit(0)).count() == 0
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan_documents(docs).collect()}
