@@ -107,13 +107,35 @@ SIEVE = 1024
 def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose `key` is in the table `keys(key)`, and a few others: by a bitmap of 16 bits for each of its rows
     (4 MiB at most, so with very many of them more others stay). It is broadcast, and `rows` are not moved."""
+    return apart(rows, key, keys)[0]
+
+
+def apart(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `sieve` gives, and the rest of the rows, no key of which is in the table."""
     at, slot, bits = free(rows, "_at", "_slot", "_bits")
     n = 32768 * min(-(-16 * keys.count() // 32768) or 1, SIEVE)
     position = (F.pmod(F.xxhash64(key), F.lit(n)) + 1).alias(at)
     bits_of = keys.select(position).groupBy(F.bitmap_bucket_number(at).alias(slot)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
     bit = F.expr(f"getbit(cast(conv(hex(substring({bits}, cast(bitmap_bit_position({at}) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position({at}) % 8 as int))")
-    own = rows.withColumn(at, position).join(F.broadcast(materialize(bits_of, "sieve")), F.bitmap_bucket_number(at) == F.col(slot))
-    return own.where(bit == 1).select(*rows.columns)
+    own = rows.withColumn(at, position).join(F.broadcast(materialize(bits_of, "sieve")), F.bitmap_bucket_number(at) == F.col(slot), "left")
+    there = F.coalesce(bit, F.lit(0)) == 1
+    return own.where(there).select(*rows.columns), own.where(~there).select(*rows.columns)
+
+
+def stay(docs: DataFrame, key: str, gone: DataFrame, repeated: DataFrame, digest: str) -> DataFrame:
+    """`docs` without the rows of `gone(i, d)`, and one row of each of `repeated(i, d)`: id, null like null, and digest.
+
+    `docs` has the `digest` and a `key` that follows from id and digest or id alone; both tables have the key too. Only
+    rows whose key a bitmap of theirs has are moved, the others stay where they are."""
+    i, d = free(docs, "_i", "_d")
+    moved, out = apart(docs, key, gone.unionByName(repeated).select(F.col("key").alias(key)).distinct())
+    named = lambda t: t.select(F.col("i").alias(i), F.col("d").alias(d))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d))
+    out = out.unionByName(moved.join(named(gone.unionByName(repeated)), same, "left_anti"))
+    if not repeated.isEmpty():
+        more = moved.join(named(repeated), same, "left_semi").withColumn(i, F.col("doc_id").cast("long"))
+        out = out.unionByName(more.dropDuplicates([i, digest]).drop(i))
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -118,13 +118,11 @@ def groups(docs: DataFrame, keep: str = "max", digest=sha256, memtables: int = M
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The documents that stay, with their columns: one row of each text, also where id and text are repeated."""
-    kept_id, kept_sha, sha, many = C.free(docs, "_kept_id", "_kept_sha", "_sha", "_rows")
-    rows = groups(docs, keep).where("kept").groupBy(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
-    kept = C.materialize(rows.agg(F.count("*").alias(many)), "exact-kept")
-    own = docs.withColumn(sha, sha256(normalized(F.col("text"))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
-    repeated = kept.where(F.col(many) > 1)
-    out = own.join(kept.where(F.col(many) == 1), same, "left_semi")
-    if not repeated.isEmpty():
-        out = out.unionByName(own.join(repeated, same, "left_semi").dropDuplicates([sha]))
-    return out.drop(sha)
+    sha, key = C.free(docs, "_sha", "_key")
+    begin = C.mark()
+    rows = groups(docs, keep).groupBy(F.col("doc_id").alias("i"), F.col("text_sha256").alias("d"), "kept")
+    rows = rows.agg(F.count("*").alias("n")).where("not kept or n > 1").withColumn("key", F.xxhash64("i"))
+    rows = C.materialize(rows, "exact-rows")
+    C.sweep(begin, rows)
+    own = docs.withColumn(sha, sha256(normalized(F.col("text")))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long")))
+    return C.stay(own, key, rows.where("not kept"), rows.where("kept"), sha).drop(sha, key)

@@ -9,7 +9,9 @@ sets before they are linked, so that the components are those of brute force.
 
 A shingle shared by many texts would give the square of their number in pairs. Where that is so, its texts are
 compared with one of them first, and pairs of texts that are linked by then are left out; ROUNDS times at most, or until
-the pairs that are left are no more than DENSE for each document, after which all of them are compared.
+the pairs that are left are no more than DENSE for each document, after which all of them are compared: in groups, by bitmaps, where a pair that shares several
+shingles is given out once, and in rounds, in which a set gives out a few pairs at first and more as long as it has more,
+so that pairs of texts that earlier ones have linked are left out.
 
 Pairs are first held against bitmaps of the sets' hashes: a bit that only one set has stands for a shingle that the
 other lacks, so a pair with too many of these cannot be similar. No similar pair is left out by it, and texts and whole
@@ -38,6 +40,9 @@ DENSE, ROUNDS = 16, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: 64-bit words of a set's bitmap.
 BITMAP = 16
+#: Rows of a group in which pairs are compared come from two blocks at most; pairs looked at together; how many pairs of a
+#: set a group gives out by round, all of them in the end.
+BLOCK, PAIRS, MOST = 4096, 1 << 20, (4, 64, 1024, 1 << 40)
 _PREFIX = "doc_id long, digest long, sid long, n int, first binary, fp long, bits array<long>, wide array<long>"
 #: Set ids that a task remembers, so that copies of one set leave it once (all are forgotten beyond it).
 SEEN = 400_000
@@ -231,28 +236,104 @@ def links(table: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int
         both = F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")
         light = cur.where("not dense")
         pairs = _possible(light.where(early).alias("p").join(light.alias("q"), on).select(*both).distinct(), sketch)
-        if left is not None:
-            heavy = C.materialize(cur.where("dense").drop("dense").join(bits, "sid"), "near-dense")
-            first = heavy.where(early)
-            if not last:
-                rank = F.struct((~early).alias("late"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid", "n", "at", "label")
-                hub = cur.where("dense").groupBy("token").agg(F.min(rank).alias("h")).select("token", "h.sid", "h.n", "h.at", "h.label")
-                first = C.materialize(hub.join(bits, "sid"), "near-hub")
+        if left is not None and not last:
+            heavy = C.materialize(cur.where("dense").drop("dense").join(bits, "sid"), "near-heavy")
+            rank = F.struct((~early).alias("late"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid", "n", "at", "label")
+            hub = cur.where("dense").groupBy("token").agg(F.min(rank).alias("h")).select("token", "h.sid", "h.n", "h.at", "h.label")
+            first = C.materialize(hub.join(bits, "sid"), "near-hub")
             pairs = pairs.unionByName(_possible(first.alias("p").join(heavy.alias("q"), on & _can_be("p", "q")).select(*both).distinct(), sketch, False))
         pairs = C.materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found = C.materialize(verified(pairs, table, docs, words), "near-found")
         tested, edges = tested.unionByName(pairs), edges.unionByName(found)
-        if last:
-            C.sweep(begin, found)
-            return comp if found.isEmpty() else C.components(edges, "near")
         if not found.isEmpty():
             comp = C.components(edges, "near")
         cur = C.materialize(_labelled(cur.where("dense").select("token", "sid", "n", "at"), comp), "near-next")
         C.sweep(begin, pairs, found, cur, *([] if comp is None else [comp]))
         C.drop(before.sparkSession, before._scratch)
+        if last:
+            break
+    for most in MOST:  # what is left: all pairs, by bitmaps, a few of a set at once
+        if cur.isEmpty():
+            break
+        begin, before = C.mark(), cur
+        out = C.materialize(dense_pairs(cur, bits, most), "near-dense")
+        pairs = _possible(out.where("token is null").select("a", "b").distinct(), sketch, False)
+        pairs = C.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        found = C.materialize(verified(pairs, table, docs, words), "near-found")
+        tested, edges = tested.unionByName(pairs), edges.unionByName(found)
+        if not found.isEmpty():
+            comp = C.components(edges, "near")
+        again = out.where("token is not null").select("token").distinct()
+        cur = C.materialize(_labelled(cur.join(again, "token").select("token", "sid", "n", "at"), comp), "near-next")
+        C.sweep(begin, pairs, found, cur, *([] if comp is None else [comp]))
+        C.drop(before.sparkSession, before._scratch)
     return comp
 
 
+def dense_pairs(cur: DataFrame, bits: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of sets of `cur(token, sid, n, at, label)` that share a shingle, have different labels and can be
+    similar by their bitmaps, with `token` null; a row with `token` for each shingle of which not all such pairs are
+    given out, since a set has more than `most` of them. A pair that shares several shingles is given out for the least
+    of those that it counts by. Rows of a shingle are dealt in blocks, and each two blocks are a group."""
+    ddl = "a long, b long, token int"
+    schema = C.arrow_schema(ddl)
+
+    def run(table):
+        c = {f: table.column(f).to_numpy() for f in ("sid", "n", "at", "label", "own")}
+        by = np.argsort(c["sid"] * np.int64(2 * most + 1), kind="stable")  # another order each round
+        sid, n, at, label, own = (c[f][by].astype(np.int64) for f in ("sid", "n", "at", "label", "own"))
+        rows = table.take(pa.array(by))
+        map_of = lambda f: rows.column(f).combine_chunks()
+        b = map_of("bits").flatten().to_numpy().view(np.uint64).reshape(len(sid), BITMAP)
+        ones = np.bitwise_count(b).sum(1, dtype=np.int64)
+        token, cross = rows.column("token")[0].as_py(), rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
+        tokens, ats = map_of("tokens"), map_of("ats")
+        owner = np.repeat(np.arange(len(sid)), np.diff(tokens.offsets.to_numpy()))
+        tokens, ats = tokens.flatten().to_numpy(), ats.flatten().to_numpy().astype(np.int64)
+        less = np.flatnonzero(tokens < token)
+        less = less[np.argsort(tokens[less], kind="stable")]
+        others = np.split(less, np.flatnonzero(np.diff(tokens[less])) + 1) if len(less) else []
+
+        def counts_by(i, j, x, y):  # whether pairs (i, j) count by a shingle at x and y
+            return ((9 * x <= n[i]) | (9 * y <= n[j])) & (9 * np.minimum(n[i] - x, n[j] - y) >= 4 * (n[i] + n[j]))
+
+        found, cut, step = [], False, max(1, PAIRS // len(sid))
+        for k in range(0, len(sid), step):
+            i = np.arange(k, min(k + step, len(sid)))[:, None]
+            j = np.arange(k, len(sid))[None, :]
+            ok = (i < j) & (label[i] != label[j]) & counts_by(i, j, at[i], at[j])
+            i, j = np.nonzero(ok & (own[i] != own[j]) if cross else ok)
+            i, j = i + k, j + k
+            both = np.zeros(len(i), np.int64)
+            for w in range(BITMAP):
+                both += np.bitwise_count(b[i, w] & b[j, w])
+            enough = 4 * (n[i] + n[j])
+            ok = (9 * (n[i] - ones[i] + both) >= enough) & (9 * (n[j] - ones[j] + both) >= enough)
+            i, j = i[ok], j[ok]
+            for o in others:
+                if not len(i):
+                    break
+                where = np.full(len(sid), -1)
+                where[owner[o]] = ats[o]
+                x, y = where[i], where[j]
+                ok = (x < 0) | (y < 0) | ~counts_by(i, j, x, y)
+                i, j = i[ok], j[ok]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            cut |= bool((nth >= most).any())
+            found.append(np.stack([sid[i], sid[j]], 1)[nth < most])
+        f = np.sort(np.concatenate(found), axis=1)
+        of = [None] * len(f) + [token] * cut
+        f = np.concatenate([f, np.zeros((int(cut), 2), np.int64)])
+        return pa.table([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(of, pa.int32())], schema=schema)
+
+    blocks = cur.groupBy("token").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    all_of = cur.groupBy("sid").agg(F.collect_list(F.struct("token", "at")).alias("s")).select("sid", F.col("s.token").alias("tokens"), F.col("s.at").alias("ats"))
+    rows = cur.join(blocks, "token").join(all_of, "sid").join(bits, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("blocks", "other")
+    return rows.groupBy("token", "p", "q").applyInArrow(run, ddl)
+
+
 def _possible(pairs: DataFrame, sketch: DataFrame, narrow: bool = True) -> DataFrame:
     """Those of `pairs(a, b)` that can be similar by their bitmaps; `narrow`: by the narrow ones too."""
     own = pairs.alias("o").join(sketch.alias("p"), F.col("o.a") == F.col("p.sid")).join(sketch.alias("q"), F.col("o.b") == F.col("q.sid"))
@@ -289,7 +370,8 @@ def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, threshold: int = THRESHOLD) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id stays (a null id, if the
     component has no other)."""
-    kept_id, kept_digest, many, digest = C.free(docs, "_kept", "_kept_digest", "_rows", "_digest")
+    digest, key = C.free(docs, "_digest", "_key")
+    begin = C.mark()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = C.materialize(prefixes(own, words, sample), "near-prefix")
     comp = links(table, own, words, threshold)
@@ -297,13 +379,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, threshol
     if comp is not None:
         rows = rows.join(comp, rows.sid == comp.node, "left").select("doc_id", "digest", F.coalesce("label", "sid").alias("sid"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")
-    kept = rows.groupBy("sid").agg(best).select(F.col("k.doc_id").alias("i"), F.col("k.digest").alias("d"))
-    here = table.groupBy(F.col("doc_id").alias("j"), F.col("digest").alias("e")).agg(F.count("*").alias(many))
-    kept = kept.join(here, F.col("i").eqNullSafe(F.col("j")) & F.col("d").eqNullSafe(F.col("e")))
-    kept = C.materialize(kept.select(F.col("i").alias(kept_id), F.col("d").alias(kept_digest), many), "near-kept")
-    marked = docs.withColumn(digest, F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
-    out = marked.join(kept.where(F.col(many) == 1), same, "left_semi")
-    if not (repeated := kept.where(F.col(many) > 1)).isEmpty():  # rows with one id and text: one of them stays
-        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", digest]))
-    return out.drop(digest)
+    kept = rows.groupBy("sid").agg(best).select(F.col("k.doc_id").alias("j"), F.col("k.digest").alias("e"), F.lit(True).alias("kept"))
+    here = table.groupBy(F.col("doc_id").alias("i"), F.col("digest").alias("d")).agg(F.count("*").alias("n"))
+    here = here.join(kept, F.col("i").eqNullSafe(F.col("j")) & F.col("d").eqNullSafe(F.col("e")), "left").withColumn("key", F.xxhash64("i", "d"))
+    here = C.materialize(here.where("kept is null or n > 1").select("i", "d", "kept", "key"), "near-rows")
+    C.sweep(begin, here)
+    marked = docs.withColumn(digest, F.xxhash64("text")).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), digest))
+    return C.stay(marked, key, here.where("kept is null"), here.where("kept"), digest).drop(digest, key)

@@ -48,13 +48,18 @@ def targets(sources: DataFrame, epochs: float = EPOCHS) -> DataFrame:
     return table.withColumn("target", F.round(F.when(F.col("capped"), full).otherwise(F.least(full, F.col("weight") * level)), 6)).drop("capped")
 
 
-def plan(docs: DataFrame, weight=cycle_weight, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, draw, size, source_size, target, times (whole copies taken) for each row of docs."""
+def _draw(seed: str, doc_id: Column) -> Column:
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+
+
+def _ordered(docs: DataFrame, weight, epochs: float, seed: str) -> DataFrame:
+    """doc_id, source, draw, size, source_size, target, whole (copies of each), once_more (whether one more is taken):
+    in a source's seeded order these are the rows up to some place."""
     base = C.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "mix-sizes")
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = C.ordered_prefix(sources, [F.col("source").asc_nulls_last()], "source_size", "mix-rank", before="words_before", position="rank")
     goal = C.materialize(targets(ranked.select("source", "source_size", "words_before", weight(F.col("rank")).alias("weight")), epochs), "mix-targets")
-    seeded = base.withColumn("draw", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+    seeded = base.withColumn("draw", _draw(seed, F.col("doc_id")))
     order = C.ordered_prefix(seeded, [F.col("source").asc_nulls_last(), F.col("draw"), F.col("size")], "size", "mix-order")
     g = goal.select(F.col("source").alias("g"), "source_size", "target", "words_before")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -62,24 +67,44 @@ def plan(docs: DataFrame, weight=cycle_weight, epochs: float = EPOCHS, seed: str
     quota = (F.col("share") - whole) * F.col("source_size")
     inside = 2 * (F.col("before") - F.col("words_before")) + F.col("size") <= 2 * quota
     out = order.join(g, order.source.eqNullSafe(g.g)).withColumn("share", share)
-    return out.select("doc_id", "source", "draw", "size", "source_size", "target", (whole + F.when((F.col("share") > whole) & inside, 1).otherwise(0)).cast("long").alias("times"))
+    return out.select("doc_id", "source", "draw", "size", "source_size", "target", whole.cast("long").alias("whole"), ((F.col("share") > whole) & inside).alias("once_more"))
+
+
+def plan(docs: DataFrame, weight=cycle_weight, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, draw, size, source_size, target, times (whole copies taken) for each row of docs."""
+    rows = _ordered(docs, weight, epochs, seed)
+    return rows.select("doc_id", "source", "draw", "size", "source_size", "target", (F.col("whole") + F.col("once_more").cast("long")).alias("times"))
+
+
+#: Sources up to which what the mix takes of each is sent to all tasks.
+SOURCES = 1 << 14
 
 
 def mix(docs: DataFrame, weight=cycle_weight, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
     """The documents themselves, each as often as it is taken; the columns of `docs`.
 
-    Rows that share id, source and size take the mean of their counts as a whole number of copies in all.
+    What is taken of a source is told by one row: the whole copies of each document, and the last one of the seeded order
+    that is taken once more. So each document is judged where it lies. Rows that share id, source and size are alike in
+    that order: those of the last place are taken once more as far as the order goes, by their texts' hashes.
     """
     from pyspark.sql import Window
 
-    of_id, of_source, of_size, taken, rows, copies, nth, copy = C.free(docs, "_id", "_source", "_size", "_times", "_rows", "_copies", "_nth", "_copy")
-    times = plan(docs, weight, epochs, seed).groupBy("doc_id", "source", "size").agg(F.sum("times").alias(taken), F.count("*").alias(rows)).where(F.col(taken) > 0)
-    times = C.materialize(times.select(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("size").alias(of_size), taken, rows), "mix-times")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (word_count() == F.col(of_size))
-    alone = docs.join(times.where(F.col(rows) == 1), on).withColumn(copies, F.col(taken))
-    if not (several := times.where(F.col(rows) > 1)).isEmpty():
-        # of r rows alike that are taken t times in all, each is taken floor(t / r) times and t mod r of them once more
-        rank = F.row_number().over(Window.partitionBy(of_id, of_source, of_size).orderBy(F.xxhash64("text")))
-        more = docs.join(several, on).withColumn(nth, rank)
-        alone = alone.unionByName(more.withColumn(copies, F.floor(F.col(taken) / F.col(rows)) + (F.col(nth) <= F.col(taken) % F.col(rows)).cast("long")).drop(nth).where(F.col(copies) > 0))
-    return alone.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    of_source, of_whole, of_last, of_more, size, here, copies, copy, nth = C.free(docs, "_source", "_whole", "_last", "_more", "_size", "_here", "_copies", "_copy", "_nth")
+    begin = C.mark()
+    rows = C.materialize(_ordered(docs, weight, epochs, seed).select("source", "draw", "size", "whole", "once_more"), "mix-plan")
+    at = F.struct("draw", "size")
+    last = rows.groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("once_more"), at)).alias("last"))
+    alike = rows.groupBy("source", "draw", "size").agg(F.count("*").alias("rows"), F.count_if("once_more").alias("more")).where("more > 0 and more < rows")
+    alike = alike.select(F.col("source").alias("s"), F.struct("draw", "size").alias("place"), "more")
+    ends = last.join(alike, F.col("source").eqNullSafe(F.col("s")) & (F.col("last") == F.col("place")), "left")
+    ends = C.materialize(ends.select(F.col("source").alias(of_source), F.col("whole").alias(of_whole), F.col("last").alias(of_last), F.col("more").alias(of_more)), "mix-ends")
+    C.sweep(begin, ends)
+    own = docs.withColumn(size, word_count()).withColumn(here, F.struct(_draw(seed, F.col("doc_id").cast("long")).alias("draw"), F.col(size).alias("size")))
+    own = own.join(F.broadcast(ends) if ends.count() <= SOURCES else ends, F.col("source").eqNullSafe(F.col(of_source)))
+    split = F.col(of_more).isNotNull() & (F.col(here) == F.col(of_last))
+    out = own.where(~split).withColumn(copies, F.col(of_whole) + F.coalesce(F.col(here) <= F.col(of_last), F.lit(False)).cast("long"))
+    if not ends.where(F.col(of_more).isNotNull()).isEmpty():
+        rank = F.row_number().over(Window.partitionBy(of_source).orderBy(F.xxhash64("text")))
+        some = own.where(split).withColumn(nth, rank)
+        out = out.unionByName(some.withColumn(copies, F.col(of_whole) + (F.col(nth) <= F.col(of_more)).cast("long")).drop(nth))
+    return out.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

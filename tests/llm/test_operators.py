@@ -317,6 +317,54 @@ def test_texts_with_a_common_passage_are_not_verified(spark, monkeypatch, own, s
     assert sum(asked) == 1
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_pairs_of_common_shingles_are_given_out_once(spark, block):
+    """Sets that share several shingles: each possible pair once, a few of a set at most, and what is cut is told."""
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(core)[: 90 - k % 4], rng.integers(0, 1 << 63, 6).astype(np.uint64)])) for k in range(60)]
+    ids = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 60)]
+    places = {i: {t: int(rng.integers(0, 20)) for t in range(6) if rng.random() < 0.8} for i in ids}
+    label = {i: i % 7 for i in ids}
+    cur = spark.createDataFrame([(t, i, len(s), at, label[i]) for i, s in zip(ids, sets) for t, at in places[i].items()], "token int, sid long, n int, at int, label long")
+    bits = spark.createDataFrame([(i, jaccard.bitmap(s).tolist()) for i, s in zip(ids, sets)], "sid long, bits array<long>")
+    want, by = set(), {}
+    for i, x in zip(ids, sets):
+        for j, y in zip(ids, sets):
+            n, m, both = len(x), len(y), len(np.intersect1d(x, y))
+            for t in sorted(places[i].keys() & places[j].keys()) if i < j and label[i] != label[j] else ():
+                p, q = places[i][t], places[j][t]
+                if (9 * p <= n or 9 * q <= m) and 9 * min(n - p, m - q) >= 4 * (n + m):
+                    by.setdefault((min(i, j), max(i, j)), t)
+                    if 9 * both >= 4 * (n + m):
+                        want.add((min(i, j), max(i, j)))
+    got = [(r.a, r.b) for r in jaccard.dense_pairs(cur, bits, 1 << 40, block).collect() if r.token is None]
+    assert len(got) == len(set(got)) and want <= set(got) <= by.keys() and len(want) > 300
+    few = jaccard.dense_pairs(cur, bits, 2, block).collect()
+    pairs, cut = {(r.a, r.b) for r in few if r.token is None}, {r.token for r in few if r.token is not None}
+    assert sum(r.token is None for r in few) <= 2 * cur.count() * (1 if block > 60 else 6)
+    assert cut and pairs < set(got) and {by[p] for p in set(got) - pairs} <= cut
+
+
+def test_stages_move_no_text_that_stays_and_leave_one_table(spark):
+    """Copies are looked up by a bitmap of their keys, counts of the mix by one row a source; tables go with their use."""
+    rows = [(i, f"text {i} " + " ".join(f"w{i * k % 991}" for k in range(40)), "ab"[i % 2]) for i in range(300)] + [(900, "text 7 " + " ".join(f"w{7 * k % 991}" for k in range(40)), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage, most in ((corpus_pipeline.exact_dedup, 2), (corpus_pipeline.near_dedup, 2), (corpus_pipeline.mix_sources, 1)):
+            since = common.mark()
+            out = stage(spark, df, "")
+            assert common.mark() - since <= most
+            assert out.count() >= 300
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            texts = [x for x in plan.split("\n") if "Join Inner" in x or "Join LeftSemi" in x]
+            assert all("broadcast" in x for x in texts), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shuffle_files_go_with_their_table(spark):
     names = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")))
     before, df = names(), spark.range(5000).repartition(7, "id").groupBy(F.col("id") % 10).count()
